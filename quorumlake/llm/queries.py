@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, pii, quality, sharding, simhash, tokens
+from . import chat, decontam, mixing, pii, quality, sharding, simhash, substring, suffix, tokens
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(documents(spark, sf_dir)))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,6 +46,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = "word_b
     return tokens.count_tokens(documents(spark, sf_dir), public_tokenizers.path(vocabulary))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix.remove_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
@@ -49,8 +59,22 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+_QUERIES = (
+    op1_personal_data,
+    op2_substring_dedup,
+    op3_source_mixing,
+    op4_simhash_near_dedup,
+    op5_benchmark_decontamination,
+    op6_token_counts,
+    op7_suffix_array_dedup,
+    op8_sharding,
+    op9_quality_rules,
+    op10_chat_formatting,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_personal_data, op3_source_mixing, op4_simhash_near_dedup, op5_benchmark_decontamination, op6_token_counts, op8_sharding, op9_quality_rules, op10_chat_formatting)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
