@@ -112,3 +112,26 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     named = docs.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("m_id"), F.col("source").cast("string").alias("m_source"), sampling_key(F.col("doc_id"), quality_weight(text_of("text")), seed).alias("m_key"))
     df = named.join(to, F.expr("m_source <=> plan_source")).withColumn("m_times", copies(F.col("m_id"), F.col("m_key"))).where("m_times > 0")
     return df.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_times")))).select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+ORACLE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+k AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))::BIGINT AS size,
+    -ln((('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / {float(1 << 48)}::DOUBLE)
+      / greatest(coalesce(length(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r#*$%&|<>!]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]', '', 'g')), 0), 1::DOUBLE), 0.1::DOUBLE) AS key
+  FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+w AS (SELECT *, [5::DOUBLE, 2::DOUBLE, 1::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS weight, source_size * {MAX_EPOCHS} AS cap FROM s),
+f AS (SELECT *, cap / weight AS fills,
+    ((sum(source_size) OVER ())::BIGINT - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)::DOUBLE
+      / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+l AS (SELECT level FROM f WHERE level <= fills ORDER BY fills, level LIMIT 1),
+g AS (SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM l) * weight, cap::DOUBLE)) AS target FROM f),
+e AS (SELECT *, least({MAX_EPOCHS}, floor(coalesce(target / nullif(source_size, 0), 0) + 1e-9))::INT AS epochs FROM g),
+c AS (SELECT k.*, e.source_size, e.target, e.epochs, greatest(e.target - e.epochs * e.source_size, 0) AS budget,
+    sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN epochs < {MAX_EPOCHS} AND upto - size / 2 <= budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+"""

@@ -147,3 +147,40 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: fl
     cutoffs = calibrate(features, labels, alpha, delta)
     judged = with_verdict(with_features(named, at["text"], "q_").withColumn("q_stratum", F.col(at["lang"]).cast("string")), cutoffs, "q_stratum", "q_score", "q_base_failed", "q_kept")
     return judged.where("q_kept").select(*[F.col(at[c]).alias(c) for c in docs.columns])
+
+
+def oracle_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
+    """The same in DuckDB: counts, score, exact binomial cutoffs and verdict."""
+    grid = [float(c) for c in CUTOFFS]
+    part = lambda x, scale: f"(1.0::DOUBLE - least({x} / {scale}::DOUBLE, 1.0::DOUBLE))"
+    share = lambda a, b: f"coalesce({a}::DOUBLE / nullif({b}, 0), 0.0::DOUBLE)"
+    clean = " * ".join([part(share("n_symbols", "word_chars"), 0.25), part(f"greatest({share('n_upper', 'word_chars')} - 0.15::DOUBLE, 0.0::DOUBLE)", 0.6), part(share("n_bangs", "n_words"), 0.6), part(share("n_dup_lines", "n_lines"), 0.75), part(share("n_repeat_words", "n_words"), 0.5)])
+    count = lambda cls: f"length(t) - length(regexp_replace(t, '[{cls}]', '', 'g'))"
+    space = "[ \\t\\n\\x0B\\f\\r]"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{space}', '', 'g') <> '') AS l
+  FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS gram FROM d, range(1, 100000) r(i) WHERE i <= len(w) - {WINDOW - 1}),
+b AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM b, range(0, {WINDOW}) q(k) GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, stratum, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{space}', '', 'g'))::BIGINT AS word_chars,
+    ({count('#*$%&|<>')})::BIGINT AS n_symbols, {count('A-Z')} AS n_upper, {count('!')} AS n_bangs, len(l) AS n_lines,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
+f AS (SELECT *, 1.0::DOUBLE - ({clean}) AS score, n_words < {BASE_MIN_WORDS} OR 100 * n_repeat_words > {BASE_MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c),
+m AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT unnest([stratum, '{POOLED}']) AS stratum, score FROM f JOIN m USING (doc_id) WHERE good AND NOT base_failed),
+k AS (SELECT stratum, c AS cutoff, count(*) AS n, count(*) FILTER (score >= c) AS k FROM h, (SELECT unnest({grid}::DOUBLE[]) AS c) GROUP BY 1, 2),
+p AS (
+  SELECT stratum, cutoff, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}::DOUBLE) + (n - i) * ln(1 - {alpha}::DOUBLE))) FROM range(0, 20000) q(i) WHERE i <= k) AS tail,
+    (SELECT count(DISTINCT stratum) FROM k) AS strata
+  FROM k WHERE k <= n * {alpha}::DOUBLE),
+u AS (SELECT stratum, min(cutoff) AS cutoff FROM p WHERE tail <= {delta}::DOUBLE / (strata * {len(grid)}) GROUP BY 1)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score,
+  NOT base_failed AND score < coalesce(u.cutoff, (SELECT cutoff FROM u WHERE stratum = '{POOLED}'), 2) AS kept
+FROM f LEFT JOIN u ON f.stratum = u.stratum AND u.stratum <> '{POOLED}'
+"""

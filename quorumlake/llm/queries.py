@@ -78,4 +78,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_sharding": sharding.ORACLE_SQL, "op10_chat_formatting": chat.ORACLE_SQL}
+    return {
+        "op3_source_mixing": mixing.ORACLE_SQL,
+        "op8_sharding": sharding.ORACLE_SQL,
+        "op9_quality_rules": quality.oracle_sql(),
+        "op10_chat_formatting": chat.ORACLE_SQL,
+    }
