@@ -51,7 +51,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint when the (materialised) table has at most ``max_rows`` rows, else none."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def let(value: Column, body) -> Column:
