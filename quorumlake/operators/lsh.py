@@ -30,6 +30,19 @@ def bucket_ranks(indexed: DataFrame, bucket: str) -> DataFrame:
     return indexed.withColumns({"rk": F.row_number().over(inside.orderBy("projection", "ref_id")), "bucket_n": F.count("*").over(inside)})
 
 
+def save_index(indexed: DataFrame, path: str, bucket: str = "sig0") -> None:
+    """The index in (bucket, projection, id) order; lookups skip files and row groups by their statistics, and a large bucket may span files."""
+    indexed.repartitionByRange(bucket, "projection").sortWithinPartitions(bucket, "projection", "ref_id").write.parquet(path)
+
+
+def candidate_counts(queries: DataFrame, refs: DataFrame, cap: int = CAP) -> DataFrame:
+    """(query_id, candidates): references in the window of each query's own bucket of the first table."""
+    sizes = index(refs).groupBy("sig0").agg(F.count("*").alias("n"))
+    found = _queries(queries).join(sizes, F.col("q_sig0") == F.col("sig0"), "left")
+    n = F.coalesce("n", F.lit(0))
+    return found.select("query_id", (F.least(n, F.lit(cap)) if cap else n).alias("candidates"))
+
+
 def window_of(probes: DataFrame, ranked: DataFrame, bucket: str, cap: int) -> DataFrame:
     """References in the window of each probe (query_id, ordinal, key, q_projection, q_c*)."""
     joined = probes.join(ranked, F.col("key") == F.col(bucket))

@@ -398,6 +398,25 @@ def lsh_staged_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(lsh.knn_lsh(query_rows(refs), refs, K, leave_self=True))
 
 
+@query()
+def knn_cells_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and most references read by the exact cell search."""
+    refs = stored(spark, sf_dir)
+    return cells.visited_rows(query_rows(refs), refs, K, leave_self=True).agg(F.avg("visited").alias("mean_visited"), F.max("visited").alias("max_visited"))
+
+
+_CANDIDATES = f"{_LSH}, b AS (SELECT sig0, count(*) AS n FROM ix GROUP BY 1), cc AS (SELECT least(n, {lsh.CAP}) AS candidates FROM ix JOIN b USING (sig0) WHERE ref_id % {EVERY} = 0)"
+
+
+@query(f"{_CANDIDATES}, o AS (SELECT candidates, row_number() OVER (ORDER BY candidates) - 1 AS i, count(*) OVER () AS n FROM cc) SELECT avg(candidates) AS mean_candidates, max(candidates) AS max_candidates, max(candidates) FILTER (i = n * 95 // 100) AS p95 FROM o")
+def lsh_candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, floor-index p95 and most candidates of the first stage."""
+    refs = stored(spark, sf_dir)
+    counts = lsh.candidate_counts(query_rows(refs), refs)
+    whole = counts.agg(F.avg("candidates").alias("mean_candidates"), F.max("candidates").alias("max_candidates"))
+    return whole.crossJoin(evaluate.floor_index(counts, "candidates", 95))
+
+
 # ---------------------------------------------------------------- evaluation
 
 

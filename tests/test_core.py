@@ -236,3 +236,43 @@ def test_recall_of_approximate_plans(spark):
     exact = {(r.query_id, r.ref_id) for r in queries.knn_exact_packed(spark, sf).collect()}
     near = {(r.query_id, r.ref_id) for r in queries.knn_cells_budget(spark, sf).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_saved_hash_index(spark, tmp_path):
+    refs, _ = generated(spark)
+    lsh.save_index(lsh.index(refs), str(tmp_path / "ix"))
+    back = spark.read.parquet(str(tmp_path / "ix"))
+    assert back.count() == 128 and {"sig0", "sig1", "coarse", "projection"} <= set(back.columns)
+
+
+def test_cancelling(spark):
+    import threading
+
+    from quorumlake.plans.jobs import cancel, job_group
+
+    seen = []
+
+    def slow():
+        with job_group(spark, "slow-search"):
+            try:
+                spark.range(1 << 40).selectExpr("sum(id * id % 7)").collect()
+            except Exception as e:  # the cancelled job's error
+                seen.append(str(e))
+
+    t = threading.Thread(target=slow)
+    t.start()
+    for _ in range(60):
+        cancel(spark, "slow-search")
+        t.join(1)
+        if not t.is_alive():
+            break
+    assert not t.is_alive() and seen
+
+
+def test_stream_stops(spark, tmp_path):
+    refs, _ = generated(spark)
+    (tmp_path / "in").mkdir()
+    run = scoring.start(scoring.read_bodies(spark, str(tmp_path / "in")), refs, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert scoring.ready(run)
+    scoring.stop(run, 1)
+    assert not scoring.ready(run)
