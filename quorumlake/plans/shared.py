@@ -1,10 +1,12 @@
-"""The folder for intermediate tables."""
+"""What queries share with the cluster: the folder for intermediate tables, the package's path."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +25,14 @@ def scratch(spark: SparkSession) -> str:
         _own[app] = tempfile.mkdtemp(prefix="quorumlake-")
         atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return _own[app]
+
+
+def reach(spark: SparkSession) -> None:
+    """Lets Python workers that see this folder import the package, wherever the driver was started.
+
+    Executors that don't share the folder need the package by ``--py-files`` as usual.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
