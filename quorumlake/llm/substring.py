@@ -151,7 +151,7 @@ def candidate_runs(docs: DataFrame, window: int, owner: int) -> DataFrame:
     return docs.select(*W.row_keys(), text_of("text").cast("binary").alias("text")).mapInArrow(run, W.ROW)
 
 
-def _segments(docs: DataFrame, open_rows: DataFrame, window: int) -> DataFrame:
+def _segments(docs: DataFrame, open_rows: DataFrame, window: int, owner: int) -> DataFrame:
     """Open rows with their words: (key, id, th, start, many, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,15 +160,18 @@ def _segments(docs: DataFrame, open_rows: DataFrame, window: int) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for id_, th, text, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = word_hashes(text, powers).view(np.int64)
-                out += [(x["key"], id_, th, x["start"], x["many"], words[x["start"] : x["start"] + x["n"] + window - 1]) for x in at]
+                words = word_hashes(text, powers)
+                for start, n, many in map(W.unpack, at):
+                    part = words[start : start + n + window - 1]
+                    # the run's key again: the smallest hash of its first window, as all of its windows have it
+                    key = powers.of(powers.prefix(part), np.arange(window - owner + 1), owner).min()
+                    out.append((int(key.astype(np.int64)), id_, th, start, many, part.view(np.int64)))
                 if len(out) > 4096:
                     yield _batch(out, names)
                     out = []
             yield _batch(out, names)
 
-    found = W.with_texts(docs, open_rows, ["key", "start", "n", "many"])
-    return found.mapInArrow(run, "key long, id long, th long, start long, many boolean, words array<long>")
+    return W.with_texts(docs, open_rows).mapInArrow(run, "key long, id long, th long, start long, many boolean, words array<long>")
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -217,14 +220,14 @@ def _by_window(segments: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row (id, th, at) for each text with repeated windows: ``at`` holds (start, end) in words."""
+    """One row (id, th, at) for each text with repeated windows: ``at`` holds start, end, ... in words."""
     done, open_rows = W.sieve(materialize(candidate_runs(docs, window, owner), "substring-runs"), "substring")
-    segments = materialize(_segments(docs, open_rows, window), "substring-segments")
+    segments = materialize(_segments(docs, open_rows, window, owner), "substring-segments")
     large = materialize(segments.groupBy("key").agg(F.sum(F.size("words")).alias("size")).where(F.col("size") > shard_words).select(F.col("key").alias("large_key")), "substring-large")
     found = done
     small = segments
     if not large.isEmpty():
-        side = small_side(large, W.MAX_BROADCAST_ROWS)
+        side = small_side(large, W.MAX_BROADCAST_KEYS)
         small = segments.join(side, F.col("key") == F.col("large_key"), "left_anti")
         found = found.union(_by_window(segments.join(side, F.col("key") == F.col("large_key"), "left_semi"), window))
     return W.ranges_of(found.union(_match(small, window)), window)
@@ -240,13 +243,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, sh
                 words = _WORD.findall(text.as_py())
                 n.append(len(words))
                 if ranges := at.as_py():
-                    mask = W.covered(np.array([r["start"] for r in ranges]), np.array([r["end"] for r in ranges]), len(words))
+                    mask = W.covered(np.array(ranges[::2]), np.array(ranges[1::2]), len(words))
                     words = [w for w, gone in zip(words, mask.tolist(), strict=True) if not gone]
                 removed.append(n[-1] - len(words))
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                kept.append(b" ".join(words))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    ranges = small_side(repeated_spans(docs, window, owner, shard_words), W.MAX_BROADCAST_ROWS)
+    ranges = repeated_spans(docs, window, owner, shard_words)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *W.row_keys(), text_of("text").cast("binary").alias("text"))
-    rows = texts.join(ranges, ["id", "th"], "left").select("doc_id", "text", "at")
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    rows = W.join_lists(texts, ranges, "left").select("doc_id", "text", "at")
+    left = rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    return left.withColumn("kept", F.col("kept").cast("string"))

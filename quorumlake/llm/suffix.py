@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import materialize, small_side, text_of
+from .common import materialize, text_of
 
 WINDOW = 200
 OWNER = 51
@@ -62,21 +62,20 @@ def short_runs(docs: DataFrame, open_rows: DataFrame, window: int, owner: int, s
             parts, ids, many = [], [], []
             for id_, th, text, at in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2), b.column(3), strict=True):
                 raw = _symbols(text.as_py())
-                for x in at.as_py():
-                    part = raw[x["start"] : x["start"] + x["n"] + window - 1]
+                for start, size, flag in map(W.unpack, at.as_py()):
+                    part = raw[start : start + size + window - 1]
                     prefix = powers.prefix(part)
                     place = int(np.argmin(powers.of(prefix, np.arange(window - owner + 1), owner)))
-                    cut = (place - np.arange(x["n"])) // short
+                    cut = (place - np.arange(size)) // short
                     low = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1]]))
-                    n = np.diff(np.append(low, x["n"]))
+                    n = np.diff(np.append(low, size))
                     common = powers.of(prefix, place - cut[low] * short, window - short + 1)
-                    parts.append((common ^ W.mix(cut[low].astype(np.uint64)), powers.of(prefix, low, n + window - 1), low + x["start"], n))
+                    parts.append((common ^ W.mix(cut[low].astype(np.uint64)), powers.of(prefix, low, n + window - 1), low + start, n))
                     ids.append((id_, th))
-                    many.append(np.full(len(low), x["many"]))
+                    many.append(np.full(len(low), flag))
             yield W.packed(parts, ids, many)
 
-    found = W.with_texts(docs, open_rows, ["start", "n", "many"])
-    return found.mapInArrow(run, W.ROW)
+    return W.with_texts(docs, open_rows).mapInArrow(run, W.ROW)
 
 
 POSITION = "id long, th long, start long, many boolean"
@@ -95,16 +94,15 @@ def first_ranks(docs: DataFrame, open_rows: DataFrame, window: int) -> DataFrame
             found: list[tuple] = []
             for id_, th, text, at in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2), b.column(3), strict=True):
                 raw = _symbols(text.as_py())
-                for x in at.as_py():
-                    part = raw[x["start"] : x["start"] + x["n"] + window - 1]
-                    prefix, p = powers.prefix(part), np.arange(x["n"])
+                for start, size, flag in map(W.unpack, at.as_py()):
+                    part = raw[start : start + size + window - 1]
+                    prefix, p = powers.prefix(part), np.arange(size)
                     ranks = [powers.of(prefix, p + j * quarter, quarter).view(np.int64) for j in range(4)]
-                    found.append((np.full(x["n"], id_, np.int64), np.full(x["n"], th, np.int64), p + x["start"], np.full(x["n"], x["many"]), *ranks))
+                    found.append((np.full(size, id_, np.int64), np.full(size, th, np.int64), p + start, np.full(size, flag), *ranks))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(8)], ["id", "th", "start", "many", "r0", "r1", "r2", "r3"])
 
-    rows = W.with_texts(docs, open_rows, ["start", "n", "many"])
-    return rows.mapInArrow(run, f"{POSITION}, r0 long, r1 long, r2 long, r3 long")
+    return W.with_texts(docs, open_rows).mapInArrow(run, f"{POSITION}, r0 long, r1 long, r2 long, r3 long")
 
 
 def rerank(pairs: DataFrame) -> DataFrame:
@@ -158,7 +156,7 @@ def doubled(positions: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, short: int = SHORT) -> DataFrame:
-    """One row (id, th, at) for each text with repeated windows: ``at`` holds (start, end) in bytes."""
+    """One row (id, th, at) for each text with repeated windows: ``at`` holds start, end, ... in bytes."""
     if window % 4 or not short <= owner <= window // 2:
         raise ValueError("the window is a multiple of 4 and the owner's width from the short run's to half of the window")
     done, open_rows = W.sieve(materialize(candidate_runs(docs, window, owner), "suffix-runs"), "suffix")
@@ -176,7 +174,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, sh
             for text, at in zip(b.column(1), b.column(2), strict=True):
                 raw, left, count = _symbols(text.as_py()), text.as_py(), 0
                 if ranges := at.as_py():
-                    mask = W.covered(np.array([r["start"] for r in ranges]), np.array([r["end"] for r in ranges]), len(raw))
+                    mask = W.covered(np.array(ranges[::2]), np.array(ranges[1::2]), len(raw))
                     count = int(np.count_nonzero(mask[1:] & ~mask[:-1]) + mask[0])
                     left = raw[~mask].tobytes()
                 n.append(len(raw))
@@ -185,7 +183,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, sh
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in (n, removed, spans)], pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    ranges = small_side(repeated_spans(docs, window, owner, short), W.MAX_BROADCAST_ROWS)
+    ranges = repeated_spans(docs, window, owner, short)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *W.row_keys(), text_of("text").cast("binary").alias("text"))
-    rows = texts.join(ranges, ["id", "th"], "left").select("doc_id", "text", "at")
+    rows = W.join_lists(texts, ranges, "left").select("doc_id", "text", "at")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -33,7 +33,11 @@ BASE = 0x9E3779B97F4A7C15
 #: Symbols that are hashed at once; runs are cut there, which only moves the cut into the open case.
 CHUNK = 1 << 18
 NO_ID = -(2**63)
-MAX_BROADCAST_ROWS = 400_000
+#: Bounds of what may be broadcast: rows of a table of keys; texts, and numbers in their arrays.
+MAX_BROADCAST_KEYS = 1_000_000
+MAX_BROADCAST_TEXTS = 200_000
+MAX_BROADCAST_ITEMS = 2_000_000
+FILTER_BITS = 1 << 27
 ROW = "key long, span long, id long, th long, start long, n int, many boolean"
 
 
@@ -120,33 +124,88 @@ def sieve(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     only serve as partners.
     """
     counts = rows.groupBy("key").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("total"), F.min("span").alias("low"), F.max("span").alias("high"))
-    shared = counts.where("total > 1").select(F.col("key").alias("shared_key"), (F.col("low") == F.col("high")).alias("even"))
-    held = rows.join(shared, F.col("key") == F.col("shared_key")).drop("shared_key")
+    shared = materialize(counts.where("total > 1").select(F.col("key").alias("shared_key"), (F.col("low") == F.col("high")).alias("even")), f"{label}-keys")
+    # a table of its own: beyond the broadcast bound both sides are plain shuffles, whose hot keys Spark can split
+    held = rows.join(small_side(shared, MAX_BROADCAST_KEYS), F.col("key") == F.col("shared_key")).drop("shared_key")
     held = materialize(held, f"{label}-shared")
     mixed = held.where("not even")
     kinds = materialize(mixed.groupBy("key", "span").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("total"), F.min(F.struct("id", "th", "start", "n")).alias("one")), f"{label}-kinds")
     open_ = kinds.select("key", "span", "one.*", (F.col("total") > 1).alias("many"))
     more = kinds.where("total > 1").select(F.col("key").alias("k"), F.col("span").alias("s"))
-    full = mixed.join(more, (F.col("key") == F.col("k")) & (F.col("span") == F.col("s")), "left_semi").where("not many")
+    full = mixed.join(small_side(more, MAX_BROADCAST_KEYS), (F.col("key") == F.col("k")) & (F.col("span") == F.col("s")), "left_semi").where("not many")
     done = held.where("even and not many").select("id", "th", "start", "n").union(full.select("id", "th", "start", "n"))
     return done, open_
 
 
-def with_texts(docs: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
-    """The texts (id, th, text as bytes) that ``wanted`` names, each with its rows of ``wanted`` as an array ``at``.
+def small_lists(lists: DataFrame) -> bool:
+    """Are rows and array elements of the (materialised) table within the broadcast bounds?"""
+    rows, items = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    return rows <= MAX_BROADCAST_TEXTS and items <= MAX_BROADCAST_ITEMS
 
-    A text's array holds at most its own windows.  Equal rows of documents count once.
+
+def listed(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``texts`` (id, th, ...) that ``lists`` may name, and those that it can't name.
+
+    A bitmap of ``FILTER_BITS`` bits, 16 MB whatever the size of the table, holds the text hashes of
+    ``lists``.  So only texts that have something to do are shuffled to the lists, and a few by chance.
+    """
+    bit = lambda th: F.pmod(th, F.lit(FILTER_BITS))
+    maps = lists.groupBy(F.bitmap_bucket_number(bit(F.col("th"))).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit(F.col("th")))).alias("map"))
+    maps = materialize(maps, "windows-bitmaps")
+    place = F.bitmap_bit_position(bit(F.col("th")))
+    byte = F.conv(F.hex(F.substring(F.col("map"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("getbit", byte, (place % 8).cast("int")) == 1, F.lit(False))
+    marked = texts.withColumn("b__", F.bitmap_bucket_number(bit(F.col("th")))).join(F.broadcast(maps.withColumnRenamed("bucket", "m__")), F.col("b__") == F.col("m__"), "left")
+    cut = lambda cond: marked.where(cond).select(*texts.columns)
+    return cut(hit), cut(~hit)
+
+
+def join_lists(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """``texts`` (id, th, ...) with the arrays of ``lists``: by broadcast within the bounds, else by a shuffle of the texts that matter."""
+    if small_lists(lists):
+        return texts.join(F.broadcast(lists), ["id", "th"], how)
+    some, others = listed(texts, lists)
+    found = some.join(lists, ["id", "th"], how)
+    return found.unionByName(others.withColumn("at", F.lit(None).cast("array<bigint>"))) if how == "left" else found
+
+
+def with_texts(docs: DataFrame, open_rows: DataFrame) -> DataFrame:
+    """The texts (id, th, text as bytes) of ``open_rows``, each with its rows as an array ``at``.
+
+    An element holds start, n and many as start * 2048 + 2 * n + many; a run has fewer windows than a
+    window has symbols.  A text's array holds at most its own windows.
     """
-    lists = materialize(wanted.groupBy("id", "th").agg(F.collect_list(F.struct(*names)).alias("at")), "windows-wanted")
+    packed_ = F.col("start") * 2048 + F.col("n") * 2 + F.col("many").cast("int")
+    lists = materialize(open_rows.groupBy("id", "th").agg(F.collect_list(packed_).alias("at")), "windows-wanted")
     id_, th = row_keys()
     texts = docs.select(id_, th, text_of("text").cast("binary").alias("text"))
-    return texts.join(small_side(lists, MAX_BROADCAST_ROWS), ["id", "th"]).select("id", "th", "text", "at")
+    return join_lists(texts, lists, "inner").select("id", "th", "text", "at")
+
+
+def unpack(at: int) -> tuple[int, int, bool]:
+    """(start, n, many) of an element of ``with_texts``."""
+    return at >> 11, at >> 1 & 1023, bool(at & 1)
 
 
 def ranges_of(spans: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated windows (id, th, start, n) to one row for each text: ``at``, array of (start, end) of symbols."""
-    ends = spans.select("id", "th", F.struct("start", (F.col("start") + F.col("n") + length - 1).alias("end")).alias("r"))
-    return materialize(ends.groupBy("id", "th").agg(F.collect_set("r").alias("at")), "windows-ranges")
+    """Runs of repeated windows (id, th, start, n) to one row for each text: ``at``, the disjoint ranges of symbols as start, end, start, end..."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for at in b.column(2):
+                v = np.sort(at.values.to_numpy(zero_copy_only=False))
+                start, end = v >> 11, (v >> 11) + (v >> 1 & 1023) + length - 1
+                reach = np.maximum.accumulate(end)
+                new = np.concatenate([[True], start[1:] > reach[:-1]])
+                last = np.append(np.flatnonzero(new)[1:] - 1, len(v) - 1)
+                out.append(np.stack((start[new], reach[last]), axis=1).ravel())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["id", "th", "at"])
+
+    long = spans.where("n > 512").select("id", "th", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1, F.lit(512).cast("long"))).alias("o"), "start", "n")
+    short = spans.where("n <= 512").select("id", "th", "start", "n").union(long.select("id", "th", F.col("start") + F.col("o"), F.least(F.lit(512), F.col("n") - F.col("o")).cast("int")))
+    lists = short.groupBy("id", "th").agg(F.collect_set(F.col("start") * 2048 + F.col("n") * 2).alias("at"))
+    return materialize(lists.mapInArrow(run, "id long, th long, at array<long>"), "windows-ranges")
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:

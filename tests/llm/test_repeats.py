@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from quorumlake.llm import substring, suffix, windows
 
 from .conftest import WORD
@@ -65,14 +66,17 @@ def check_words(df, **kw):
     return sum(k[2] for k in want)
 
 
-def test_substring_dedup(spark, docs, odd_docs):
+def test_substring_dedup(spark, docs, odd_docs, monkeypatch):
     df = planted(spark, docs, odd_docs)
     assert check_words(df) > 1000
+    monkeypatch.setattr(windows, "MAX_BROADCAST_TEXTS", 0)  # joins by shuffle
     assert check_words(df, shard_words=300) > 1000  # large shards by windows
     assert substring.remove_repeats(docs.limit(0)).count() == 0
 
 
-def test_suffix_dedup(spark, docs, odd_docs):
+@pytest.mark.parametrize("texts", [0, windows.MAX_BROADCAST_TEXTS])
+def test_suffix_dedup(spark, docs, odd_docs, monkeypatch, texts):
+    monkeypatch.setattr(windows, "MAX_BROADCAST_TEXTS", texts)  # 0: joins by shuffle
     df = planted(spark, docs, odd_docs)
     want = Counter()
     for d, s, gone in brute(df.collect(), str.encode, 200):
