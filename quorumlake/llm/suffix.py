@@ -3,10 +3,10 @@
 Bytes covered by a 200-byte string that also starts anywhere else are removed.  A suffix array of
 every byte position isn't needed for that: the window sieve of ``windows`` proves most positions
 unique or repeated first (once by owners, once more by short runs of the open ones).  The positions
-left are sorted by prefix doubling: the first rank is the fingerprint of 50 bytes; then Spark sorts
-(rank at p, rank at p + 50) and reranks to the order of 100 bytes, drops positions whose rank has
-become unique, sorts (rank at p, rank at p + 100), and at 200 bytes, past the threshold, equal
-neighbours are repeated.
+left are sorted by prefix doubling: the first rank is the fingerprint of 50 bytes; then Spark counts
+and sorts the pairs (rank at p, rank at p + 50) and reranks to the order of 100 bytes, drops positions
+whose rank has become unique, goes on with (rank at p, rank at p + 100), and at 200 bytes, past the
+threshold, the positions that still share a rank are repeated.
 
 Defined cases: null and empty texts have no bytes; matches never cross documents; equal rows are
 copies of each other; rows of one id with different texts are different documents; an empty
@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import materialize, text_of
+from .common import materialize, small_side, text_of
 
 WINDOW = 200
 OWNER = 51
 #: Windows in a short run of the second sieve.
 SHORT = 8
+#: Bound of what may be broadcast: rows of a table of ranks.
+MAX_BROADCAST_RANKS = 200_000
 
 
 def _symbols(text: bytes) -> np.ndarray:
@@ -105,54 +107,27 @@ def first_ranks(docs: DataFrame, open_rows: DataFrame, window: int) -> DataFrame
     return W.with_texts(docs, open_rows).mapInArrow(run, f"{POSITION}, r0 long, r1 long, r2 long, r3 long")
 
 
-def rerank(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (id, th, start, many, half, a, b) sorted by (a, b) over all tasks: adds ``rank`` and ``total``.
+def rerank(pairs: DataFrame, label: str) -> DataFrame:
+    """``pairs`` (a, b, many, ...) that occur twice or more (``many`` counts as 2), with their ``rank`` in the order of (a, b).
 
-    Ranks follow the order of the pairs; equal pairs have one rank, and ``total`` counts them (``many`` as 2).
+    Equal pairs are counted before any sort, so a task sorts one row for each distinct pair however
+    often a passage occurs; unique pairs end here.  The ranks are a table, joined to the positions by
+    broadcast within a bound, else by a plain shuffle join whose hot pairs Spark can split.
     """
+    again = pairs.groupBy("a", "b").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("total")).where("total > 1").select("a", "b")
+    ordered = again.repartitionByRange("a", "b").sortWithinPartitions("a", "b")
+    ranks = materialize(ordered.withColumn("rank", F.monotonically_increasing_id()), f"suffix-ranks-{label}")
+    return pairs.join(small_side(ranks, MAX_BROADCAST_RANKS), ["a", "b"]).drop("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        rank = TaskContext.get().partitionId() << 40
-        held: pa.Table | None = None
-
-        def out(t: pa.Table, rank: int) -> tuple[pa.RecordBatch, int]:
-            a, b, many = (t.column(c).to_numpy() for c in ("a", "b", "many"))
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            group = np.cumsum(new) - 1
-            total = np.bincount(group, np.where(many, 2, 1)).astype(np.int64)[group]
-            cols = [t.column(c).combine_chunks() for c in ("id", "th", "start", "many", "half")]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(group + rank), pa.array(total)], ["id", "th", "start", "many", "half", "rank", "total"]), rank + int(group[-1]) + 1
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
-            other = np.flatnonzero((a != a[-1]) | (b != b[-1]))
-            done = int(other[-1]) + 1 if len(other) else 0
-            if done:  # the last group may go on in the next batch
-                ready, rank = out(t.slice(0, done), rank)
-                yield ready
-            held = t.slice(done)
-        if held is not None:
-            yield out(held, rank)[0]
-
-    ordered = pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b")
-    return ordered.mapInArrow(run, f"{POSITION}, half int, rank long, total long")
-
-
-def doubled(positions: DataFrame) -> DataFrame:
+
+def doubled(positions: DataFrame, window: int) -> DataFrame:
     """Repeated positions (id, th, start, n = 1) of ``positions`` as ``first_ranks`` gives them."""
     halves = F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("r0").alias("a"), F.col("r1").alias("b")), F.struct(F.lit(1).alias("half"), F.col("r2").alias("a"), F.col("r3").alias("b")))).alias("h")
-    half_ranks = rerank(positions.select("id", "th", "start", "many", halves).select("id", "th", "start", "many", "h.*"))
-    alive = half_ranks.where("total > 1")  # the rest is unique from here on
+    alive = rerank(positions.select("id", "th", "start", "many", halves).select("id", "th", "start", "many", "h.*"), str(window // 2))
     rank = lambda i: F.max(F.when(F.col("half") == i, F.col("rank")))
     pairs = alive.groupBy("id", "th", "start", "many").agg(rank(0).alias("a"), rank(1).alias("b")).where("a is not null and b is not null")
-    whole = rerank(materialize(pairs.withColumn("half", F.lit(0)), "suffix-pairs"))
-    return whole.where("total > 1 and not many").select("id", "th", "start", F.lit(1).alias("n"))
+    whole = rerank(materialize(pairs, "suffix-pairs"), str(window))
+    return whole.where("not many").select("id", "th", "start", F.lit(1).alias("n"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, short: int = SHORT) -> DataFrame:
@@ -162,7 +137,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, sh
     done, open_rows = W.sieve(materialize(candidate_runs(docs, window, owner), "suffix-runs"), "suffix")
     more, open_short = W.sieve(materialize(short_runs(docs, open_rows, window, owner, short), "suffix-short"), "suffix-short")
     positions = materialize(first_ranks(docs, open_short, window), "suffix-positions")
-    return W.ranges_of(done.union(more).union(doubled(positions)), window)
+    return W.ranges_of(done.union(more).union(doubled(positions, window)), window)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, short: int = SHORT) -> DataFrame:

@@ -77,6 +77,7 @@ def test_substring_dedup(spark, docs, odd_docs, monkeypatch):
 @pytest.mark.parametrize("texts", [0, windows.MAX_BROADCAST_TEXTS])
 def test_suffix_dedup(spark, docs, odd_docs, monkeypatch, texts):
     monkeypatch.setattr(windows, "MAX_BROADCAST_TEXTS", texts)  # 0: joins by shuffle
+    monkeypatch.setattr(suffix, "MAX_BROADCAST_RANKS", texts)
     df = planted(spark, docs, odd_docs)
     want = Counter()
     for d, s, gone in brute(df.collect(), str.encode, 200):
@@ -88,6 +89,15 @@ def test_suffix_dedup(spark, docs, odd_docs, monkeypatch, texts):
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_ranks_follow_the_order_of_repeated_pairs(spark):
+    rows = [(i, a, b, m) for i, (a, b, m) in enumerate([(5, 1, False)] * 400 + [(5, 0, False), (-3, 7, True), (2, 2, False), (2, 2, False), (9, 9, False)])]
+    got = suffix.rerank(spark.createDataFrame(rows, "p int, a long, b long, many boolean"), "test").collect()
+    pair = {i: (a, b) for i, a, b, _ in rows}
+    assert {r.p for r in got} == {*range(400), 401, 402, 403}
+    by_rank = sorted({(r["rank"], pair[r.p]) for r in got})
+    assert [p for _, p in by_rank] == [(-3, 7), (2, 2), (5, 1)]
+
+
 def test_owners_are_leftmost_minima():
     r = np.random.default_rng(1)
     for n, width, top in [(50, 7, 5), (300, 150, 10**9), (150, 150, 3), (1000, 28, 40)]:
