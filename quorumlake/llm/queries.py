@@ -79,7 +79,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": substring.ORACLE_SQL,
         "op3_source_mixing": mixing.ORACLE_SQL,
+        "op7_suffix_array_dedup": suffix.ORACLE_SQL,
         "op8_sharding": sharding.ORACLE_SQL,
         "op9_quality_rules": quality.oracle_sql(),
         "op10_chat_formatting": chat.ORACLE_SQL,

@@ -254,3 +254,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, sh
     rows = W.join_lists(texts, ranges, "left").select("doc_id", "text", "at")
     left = rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
     return left.withColumn("kept", F.col("kept").cast("string"))
+
+
+ORACLE_SQL = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents),
+h AS (SELECT r, list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: md5(array_to_string(w[i:i + {WINDOW - 1}], ' '))) AS l FROM d),
+s AS MATERIALIZED (SELECT r, unnest(l) AS h, generate_subscripts(l, 1) AS i FROM h),
+b AS (SELECT r, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, i + k AS i FROM b, range(0, {WINDOW}) q(k)),
+u AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM u ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""

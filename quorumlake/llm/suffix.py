@@ -162,3 +162,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, sh
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *W.row_keys(), text_of("text").cast("binary").alias("text"))
     rows = W.join_lists(texts, ranges, "left").select("doc_id", "text", "at")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+#: On the text's hexadecimal digits, in blocks of 1000 window starts; repeated starts at most a window apart are one run.
+ORACLE_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+j AS (SELECT r, x, unnest(range(0, len(x) // 2, 1000)) AS j FROM d),
+p AS (SELECT r, j, substr(x, 2 * j + 1, {2 * (WINDOW + 999)}) AS p FROM j),
+h AS (SELECT r, j, list_transform(range(0, len(p) // 2 - {WINDOW - 1}), lambda i: md5(substr(p, 2 * i + 1, {2 * WINDOW}))) AS l FROM p),
+s AS MATERIALIZED (SELECT r, j + generate_subscripts(l, 1) - 1 AS i, unnest(l) AS h FROM h),
+b AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+n AS (SELECT r, i, count_if(before IS NULL OR i > before + {WINDOW}) OVER (PARTITION BY r ORDER BY i) AS run FROM b),
+e AS (SELECT r, run, min(i) AS a, max(i) + {WINDOW} AS z FROM n GROUP BY r, run),
+g AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS y FROM e),
+k AS (SELECT r, count(*) AS spans, sum(z - a) AS gone, string_agg(substr(x, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(x), 2 * max(z) + 1) AS t
+      FROM g JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, x))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
