@@ -1,15 +1,15 @@
 """Corpus pipeline: quality rules, near-duplicates, decontamination, source mixing, sharding.
 
 Every stage works on all that its predecessor kept and returns whole rows; the last adds ``shard``
-and ``shard_bytes``.  Near-duplicates are those of the SimHash operator's contract (shingles of
-four words, at most 4 differing bits); the document of smallest id of each group stays.
+and ``shard_bytes``.  Near-duplicates are texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more; the document of smallest id of each group stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumlake.llm import decontam, mixing, quality, sharding, simhash
+from quorumlake.llm import decontam, mixing, overlap, quality, sharding
 from quorumlake.llm.common import documents, materialize, table
 
 
@@ -18,7 +18,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return overlap.drop_near_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +35,13 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality rules", quality_stage),
-    ("SimHash near-dedup", near_dedup_stage),
+    ("near-dedup", near_dedup_stage),
     ("benchmark decontamination", decontamination_stage),
     ("source mixing", mixing_stage),
     ("sharding", sharding_stage),
 ]
 
-#: SimHash components and exact binomial bounds have no practical SQL; tests use a brute-force version.
+#: Components of near copies and exact binomial bounds have no practical SQL; tests use a brute-force version.
 ORACLE_SQL = None
 
 
