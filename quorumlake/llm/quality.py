@@ -5,8 +5,8 @@ rejection cutoff is chosen on labelled holdout documents: a cutoff is admissible
 binomial (Clopper-Pearson) test rejects "more than ``alpha`` of the good documents score at or
 above it" at level ``delta / (strata * cutoffs)`` (Bonferroni), and the smallest admissible cutoff
 is used.  The score is fixed in advance and not fitted, so all labelled rows serve as the holdout.
-A stratum without enough labelled good documents uses the cutoff of the pooled stratum; if even
-that has none, the method rejects nothing.
+A stratum that certifies no cutoff of its own rejects nothing beyond the base rule: the cutoff of
+the pooled stratum bounds rejections over all languages together, not within one.
 
 Defined cases: null or empty text has zero words and fails the base rule; a null language is a
 stratum of its own; labels with null ids or null quality are ignored; several labels for one id
@@ -120,11 +120,10 @@ def calibrate(features: DataFrame, labels: DataFrame, alpha: float = 0.02, delta
 
 def with_verdict(features: DataFrame, cutoffs: DataFrame, stratum: str, score: str, failed: str, out: str) -> DataFrame:
     """``features`` plus the boolean ``out``: not failed and below the stratum's cutoff."""
-    pooled = cutoffs.where(F.col("stratum") == POOLED).agg(F.min("cutoff").alias("__pooled"))
     own = small_side(cutoffs.where(F.col("stratum") != POOLED).select(F.col("stratum").alias("__stratum"), F.col("cutoff").alias("__cutoff")), MAX_BROADCAST_STRATA)
-    df = features.join(own, F.coalesce(stratum, F.lit("")) == F.col("__stratum"), "left").crossJoin(F.broadcast(pooled))
-    limit = F.coalesce("__cutoff", "__pooled", F.lit(2.0))
-    return df.withColumn(out, ~F.col(failed) & (F.col(score) < limit)).drop("__stratum", "__cutoff", "__pooled")
+    df = features.join(own, F.coalesce(stratum, F.lit("")) == F.col("__stratum"), "left")
+    limit = F.coalesce("__cutoff", F.lit(2.0))
+    return df.withColumn(out, ~F.col(failed) & (F.col(score) < limit)).drop("__stratum", "__cutoff")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
