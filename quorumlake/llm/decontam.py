@@ -15,8 +15,8 @@ shingle x in window and item, sum(min(a_x, b_x)) / sum(max(a_x, b_x)).
 Words are lower-cased and rid of ASCII punctuation; words of nothing else vanish.
 
 Defined cases: items of fewer than five words are not looked for; a document shorter than an item is
-one window; null and empty texts are never contaminated; rows of one id are judged together; an
-empty table of documents or items gives no rows.
+one window; null and empty texts are never contaminated; rows of one id are judged together, except by
+``drop_contaminated_rows``; an empty table of documents or items gives no rows.
 """
 
 from __future__ import annotations
@@ -109,3 +109,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark item; columns unchanged."""
     bad = materialize(contaminated(docs, benchmark).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("bad_id")).distinct(), "decon-bad")
     return docs.join(small_side(bad, MAX_BROADCAST_ROWS), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("bad_id"), "left_anti")
+
+
+def drop_contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item; a null or reused id doesn't decide for other texts."""
+    key = "decon__row"
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_of("text")))
+    found = contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark)
+    bad = materialize(found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("bad_row")).distinct(), "decon-bad-rows")
+    return keyed.join(small_side(bad, MAX_BROADCAST_ROWS), F.col(key) == F.col("bad_row"), "left_anti").drop(key)
