@@ -76,7 +76,7 @@ WITH t AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
 c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY pos) AS l FROM p GROUP BY conv_id),
-pre AS (SELECT DISTINCT l[1:i] AS l FROM c, range(1, 1000) r(i) WHERE i < len(l)),
+pre AS (SELECT DISTINCT l[1:i] AS l FROM (SELECT l, unnest(range(1, len(l))) AS i FROM c)),
 w AS (SELECT l, min(conv_id) AS conv_id, count(*) AS n_logged FROM c GROUP BY l),
 m AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM pre WHERE pre.l = w.l))
 SELECT m.conv_id, len(m.l)::BIGINT AS n_turns, m.n_logged, ((p.pos - 1) // {PART})::INT AS part,

@@ -68,6 +68,30 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
 
+NO_ID = -(2**63)
+
+
+def row_keys() -> tuple[Column, Column]:
+    """A row of documents by its id and its text's hash: rows that agree in both are copies of one row."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of("text")).alias("th")
+
+
+def without_rows(docs: DataFrame, keys: list[Column], gone: DataFrame, once: DataFrame | None = None, max_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` are in ``gone``, and with one row for each of ``once``; columns unchanged.
+
+    ``gone`` and ``once`` are materialised and have one column for each key, in order.
+    """
+    names = [f"k_{i}__" for i in range(len(keys))]
+    inner = [f"in_{i}__" for i in range(len(docs.columns))]
+    named = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(docs.columns, inner, strict=True)], *[k.alias(n) for k, n in zip(keys, names, strict=True)])
+    kept = named.join(small_side(gone.toDF(*names), max_rows), names, "left_anti")
+    if once is not None and not once.isEmpty():
+        side = small_side(once.toDF(*names), max_rows)
+        single = kept.join(side, names, "left_semi").dropDuplicates(names)
+        kept = kept.join(side, names, "left_anti").unionByName(single)
+    return kept.select(*[F.col(a).alias(c) for c, a in zip(docs.columns, inner, strict=True)])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

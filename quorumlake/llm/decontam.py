@@ -15,8 +15,10 @@ shingle x in window and item, sum(min(a_x, b_x)) / sum(max(a_x, b_x)).
 Words are lower-cased and rid of ASCII punctuation; words of nothing else vanish.
 
 Defined cases: items of fewer than five words are not looked for; a document shorter than an item is
-one window; null and empty texts are never contaminated; rows of one id are judged together, except by
-``drop_contaminated_rows``; an empty table of documents or items gives no rows.
+one window; null and empty texts are never contaminated; rows are told apart by id and text, so a null or
+reused id never decides for another text, and copies of one row give one result; a very long text is cut
+into parts of ``PART`` shingles before windows are taken from it; an empty table of documents or items
+gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, materialize, small_side, text_of
+from .common import NO_ID, SPACE, let, materialize, row_keys, small_side, text_of, without_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -33,7 +35,8 @@ BLOCKS = 8
 BLOCK_RADIUS = RADIUS // BLOCKS
 MAX_BROADCAST_ROWS = 500_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-NO_ID = -(2**63)
+#: Shingles of a document from which windows are cut at once.
+PART = 1024
 
 
 def shingles(text: Column) -> Column:
@@ -68,53 +71,59 @@ def similarity(a: Column, b: Column) -> Column:
     return let(both, lambda m: m / (F.size(a) + F.size(b) - m))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start_word, n_shingles, similarity): the best window of each contaminated pair."""
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(id, th, item_id, start_word, n_shingles, similarity): the best window of each contaminated row and item."""
     items = benchmark.select("item_id", shingles(text_of("text")).alias("item_sh")).where("size(item_sh) > 0").withColumn("size", F.size("item_sh"))
     items = materialize(items, "decon-items")
+    longest = items.agg(F.max("size")).first()[0] or 1
     index = items.select("item_id", "size", F.explode(F.array_distinct("item_sh")).alias("h"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")
-    placed = docs.select(key, F.posexplode(shingles(text_of("text"))).alias("pos", "h"))
-    hits = placed.join(small_side(materialize(index, "decon-index"), MAX_BROADCAST_ROWS), "h").select("id", "item_id", "size", "pos").distinct()
+    placed = docs.select(*row_keys(), F.posexplode(shingles(text_of("text"))).alias("pos", "h"))
+    hits = placed.join(small_side(materialize(index, "decon-index"), MAX_BROADCAST_ROWS), "h").select("id", "th", "item_id", "size", "pos").distinct()
     least = F.ceil(F.lit(SIMILARITY) * F.col("size"))
     # does the window that begins at this hit hold enough hits?
-    run = Window.partitionBy("id", "item_id").orderBy("pos")
+    run = Window.partitionBy("id", "th", "item_id").orderBy("pos")
     ranked = hits.withColumn("rn", F.row_number().over(run))
-    ahead = ranked.select("id", "item_id", F.col("rn").alias("to"), F.col("pos").alias("far"))
-    reach = ranked.withColumn("to", F.col("rn") + least - 1).join(ahead, ["id", "item_id", "to"])
+    ahead = ranked.select("id", "th", "item_id", F.col("rn").alias("to"), F.col("pos").alias("far"))
+    reach = ranked.withColumn("to", F.col("rn") + least - 1).join(ahead, ["id", "th", "item_id", "to"])
     reach = reach.where(F.col("far") <= F.col("pos") + F.col("size") - 1)
-    starts = reach.select("id", "size", F.explode(F.sequence(F.greatest(F.col("pos") - F.col("size") + least, F.lit(0)), F.col("pos"))).alias("start")).distinct()
-    wanted = materialize(starts.groupBy("id").agg(F.collect_list(F.struct("size", "start")).alias("windows")), "decon-windows")
-
-    there = docs.select(key, F.col("text")).join(small_side(wanted, MAX_BROADCAST_ROWS // 10), "id")
-    cut = there.select("id", "windows", shingles(text_of("text")).alias("sh")).select("id", "sh", F.explode("windows").alias("w"))
-    begin = F.greatest(F.least(F.col("w.start"), F.size("sh") - F.col("w.size")), F.lit(0))
-    windows = cut.select("id", F.col("w.size").alias("size"), begin.alias("start"), F.slice("sh", begin + 1, F.col("w.size")).alias("win_sh"))
+    starts = reach.select("id", "th", "size", F.explode(F.sequence(F.greatest(F.col("pos") - F.col("size") + least, F.lit(0)), F.col("pos"))).alias("start")).distinct()
+    # by parts of the document, so that a window is cut from a part and never from a copy of a long document
+    step = max(PART, longest)
+    wanted = materialize(starts.groupBy("id", "th", F.floor(F.col("start") / step).cast("int").alias("part")).agg(F.collect_list(F.struct("size", "start")).alias("windows")), "decon-windows")
+
+    def parts(sh: Column) -> Column:
+        low = lambda p: F.greatest(p * step - longest, F.lit(0))
+        numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.size(sh) - 1, F.lit(0)) / step).cast("int"))
+        return F.struct(F.size(sh).alias("n"), F.transform(numbers, lambda p: F.struct(p.alias("part"), low(p).alias("low"), F.slice(sh, low(p) + 1, step + 2 * longest).alias("sh"))).alias("parts"))
+
+    some = materialize(wanted.select("id", "th").distinct(), "decon-texts")
+    there = docs.select(*row_keys(), F.col("text")).join(small_side(some, MAX_BROADCAST_ROWS), ["id", "th"], "left_semi")
+    cut = there.select("id", "th", let(shingles(text_of("text")), parts).alias("s")).select("id", "th", F.col("s.n").alias("n"), F.inline("s.parts"))
+    cut = cut.join(small_side(wanted, MAX_BROADCAST_ROWS // 10), ["id", "th", "part"]).select("id", "th", "n", "low", "sh", F.explode("windows").alias("w"))
+    begin = F.greatest(F.least(F.col("w.start"), F.col("n") - F.col("w.size")), F.lit(0))
+    windows = cut.select("id", "th", F.col("w.size").alias("size"), begin.alias("start"), F.slice("sh", begin - F.col("low") + 1, F.col("w.size")).alias("win_sh"))
     windows = materialize(windows.withColumn("fp", simhash(F.col("win_sh"))), "decon-prints")
 
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
     prints = items.select("item_id", "size", "item_sh", simhash(F.col("item_sh")).alias("item_fp"))
     table = prints.select("item_id", "size", "item_fp", blocks).select("item_id", "size", "item_fp", "block", F.explode(F.transform(F.array(*[F.lit(m) for m in near_values()]), lambda m: _block(F.col("item_fp"), F.col("block")).bitwiseXOR(m))).alias("value"))
-    probe = windows.select("id", "size", "start", "fp", blocks).withColumn("value", _block(F.col("fp"), F.col("block")))
+    probe = windows.select("id", "th", "size", "start", "fp", blocks).withColumn("value", _block(F.col("fp"), F.col("block")))
     table = small_side(materialize(table, "decon-blocks"), MAX_BROADCAST_ROWS)
     near = probe.join(table, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    pairs = near.select("id", "size", "start", "item_id").distinct()
-    checked = pairs.join(windows.select("id", "size", "start", "win_sh").distinct(), ["id", "size", "start"]).join(small_side(items.select("item_id", "item_sh"), MAX_BROADCAST_ROWS // 10), "item_id")
+    pairs = near.select("id", "th", "size", "start", "item_id").distinct()
+    checked = pairs.join(windows.select("id", "th", "size", "start", "win_sh").distinct(), ["id", "th", "size", "start"]).join(small_side(items.select("item_id", "item_sh"), MAX_BROADCAST_ROWS // 10), "item_id")
     scored = checked.withColumn("similarity", similarity(F.col("win_sh"), F.col("item_sh"))).where(F.col("similarity") >= SIMILARITY)
-    best = scored.groupBy("id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "size")).alias("m"))
-    return best.select(F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), "item_id", (-F.col("m.s")).cast("long").alias("start_word"), F.col("m.size").cast("long").alias("n_shingles"), "m.similarity")
+    best = scored.groupBy("id", "th", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "size")).alias("m"))
+    return best.select("id", "th", "item_id", (-F.col("m.s")).cast("long").alias("start_word"), F.col("m.size").cast("long").alias("n_shingles"), "m.similarity")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; columns unchanged."""
-    bad = materialize(contaminated(docs, benchmark).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("bad_id")).distinct(), "decon-bad")
-    return docs.join(small_side(bad, MAX_BROADCAST_ROWS), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("bad_id"), "left_anti")
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start_word, n_shingles, similarity): one row for each contaminated row (id and text) and item."""
+    found = contaminated_rows(docs, benchmark)
+    return found.select(F.nullif(F.col("id"), F.lit(NO_ID)).alias("doc_id"), "item_id", "start_word", "n_shingles", "similarity")
 
 
-def drop_contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; a null or reused id doesn't decide for other texts."""
-    key = "decon__row"
-    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_of("text")))
-    found = contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark)
-    bad = materialize(found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("bad_row")).distinct(), "decon-bad-rows")
-    return keyed.join(small_side(bad, MAX_BROADCAST_ROWS), F.col(key) == F.col("bad_row"), "left_anti").drop(key)
+    bad = materialize(contaminated_rows(docs, benchmark).select("id", "th").distinct(), "decon-bad")
+    return without_rows(docs, list(row_keys()), bad, max_rows=MAX_BROADCAST_ROWS)

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side, text_of
+from .common import NO_ID, materialize, small_side, text_of, without_rows
 from .simhash import _LOWER, _WORD, SEED, components
-from .windows import BASE, NO_ID, mix
+from .windows import BASE, mix
 
 SHINGLE = 5
 #: The similarity as a fraction: 4 of 5.
@@ -227,12 +227,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     named = materialize(named.groupBy("root", "row").agg(F.min("id").alias("id"), F.count("*").alias("times")), "overlap-named")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select(F.col("m.row").alias("row"))
     first = materialize(first, "overlap-first")
-    gone = materialize(named.select("row").join(first, "row", "left_anti").select(F.col("row").alias("gone")), "overlap-gone")
-    again = materialize(named.where("times > 1").join(first, "row", "left_semi").select(F.col("row").alias("again")), "overlap-again")
-    key = "overlap__row"
-    kept = docs.withColumn(key, row_key()).join(small_side(gone, MAX_BROADCAST_ROWS), F.col(key) == F.col("gone"), "left_anti")
-    if again.isEmpty():
-        return kept.drop(key)
-    again = small_side(again, MAX_BROADCAST_ROWS)
-    once = kept.join(again, F.col(key) == F.col("again"), "left_semi").dropDuplicates([key])
-    return kept.join(again, F.col(key) == F.col("again"), "left_anti").unionByName(once).drop(key)
+    gone = materialize(named.select("row").join(first, "row", "left_anti"), "overlap-gone")
+    again = materialize(named.where("times > 1").select("row").join(first, "row", "left_semi"), "overlap-again")
+    return without_rows(docs, [row_key()], gone, again, MAX_BROADCAST_ROWS)

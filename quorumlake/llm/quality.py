@@ -162,7 +162,7 @@ WITH d AS (
     list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda w: w <> '') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{space}', '', 'g') <> '') AS l
   FROM documents),
-g AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS gram FROM d, range(1, 100000) r(i) WHERE i <= len(w) - {WINDOW - 1}),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
 b AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM b, range(0, {WINDOW}) q(k) GROUP BY doc_id),
 c AS (
@@ -175,7 +175,7 @@ m AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NU
 h AS (SELECT unnest([stratum, '{POOLED}']) AS stratum, score FROM f JOIN m USING (doc_id) WHERE good AND NOT base_failed),
 k AS (SELECT stratum, c AS cutoff, count(*) AS n, count(*) FILTER (score >= c) AS k FROM h, (SELECT unnest({grid}::DOUBLE[]) AS c) GROUP BY 1, 2),
 p AS (
-  SELECT stratum, cutoff, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}::DOUBLE) + (n - i) * ln(1 - {alpha}::DOUBLE))) FROM range(0, 20000) q(i) WHERE i <= k) AS tail,
+  SELECT stratum, cutoff, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}::DOUBLE) + (n - i) * ln(1 - {alpha}::DOUBLE))) FROM (SELECT unnest(range(0, k + 1)) AS i)) AS tail,
     (SELECT count(DISTINCT stratum) FROM k) AS strata
   FROM k WHERE k <= n * {alpha}::DOUBLE),
 u AS (SELECT stratum, min(cutoff) AS cutoff FROM p WHERE tail <= {delta}::DOUBLE / (strata * {len(grid)}) GROUP BY 1)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side, text_of
+from .common import NO_ID, materialize, row_keys, small_side, text_of, without_rows
 
 SHINGLE = 4
 RADIUS = 4
@@ -63,15 +63,15 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for each row of ``docs`` (doc_id, text)."""
+    """(doc_id, id, th, fp) for each row of ``docs`` (doc_id, text); id and th as from ``row_keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_signed(fingerprint(t.as_py(), shingle)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [_signed(fingerprint(t.as_py(), shingle)) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.int64())], ["doc_id", "id", "th", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(), text_of("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, id long, th long, fp long")
 
 
 def _wild_keys(value: Column, low: int, width: int) -> Column:
@@ -177,7 +177,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text)."""
-    fps = materialize(fingerprints(docs, shingle), "simhash")
+    fps = materialize(fingerprints(docs, shingle).select("doc_id", "fp"), "simhash")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), radius))
     named = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -186,14 +186,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with the document of smallest id of each component; rows without an id stay as they are."""
-    found = materialize(near_duplicates(docs, shingle, radius), "simhash-components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    repeated = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("again_id")).agg(F.count("*").alias("n")).where("n > 1").select("again_id")
-    kept = docs.join(small_side(materialize(gone, "simhash-gone"), MAX_BROADCAST_ROWS), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    repeated = materialize(repeated, "simhash-repeated")
-    if repeated.isEmpty():
-        return kept
-    again = small_side(repeated, MAX_BROADCAST_ROWS)
-    once = kept.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col("again_id"), "left_anti").unionByName(once)
+    """``docs`` with one row of each component: that of smallest id, then text hash; an id before none.
+
+    Decisions are by id and text, so a null or reused id never decides for another text; of rows
+    equal in both one stays.  Columns unchanged.
+    """
+    fps = materialize(fingerprints(docs, shingle), "simhash-rows")
+    roots = components(links(fps.select("fp").distinct(), radius))
+    named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = materialize(named.groupBy("root", "id", "th").agg(F.count("*").alias("times")), "simhash-named")
+    first = rows.groupBy("root").agg(F.min(F.struct((F.col("id") == NO_ID).alias("none"), "id", "th")).alias("m")).select("m.id", "m.th")
+    first = materialize(first, "simhash-first")
+    gone = materialize(rows.select("id", "th").join(first, ["id", "th"], "left_anti"), "simhash-gone")
+    again = materialize(rows.where("times > 1").select("id", "th").join(first, ["id", "th"], "left_semi"), "simhash-again")
+    return without_rows(docs, list(row_keys()), gone, again, MAX_BROADCAST_ROWS)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import materialize, small_side, text_of
+from .common import materialize, row_keys, small_side, text_of
 
 WINDOW = 35
 OWNER = 8
@@ -148,7 +148,7 @@ def candidate_runs(docs: DataFrame, window: int, owner: int) -> DataFrame:
                     ids.append((id_, th))
             yield W.packed(parts, ids)
 
-    return docs.select(*W.row_keys(), text_of("text").cast("binary").alias("text")).mapInArrow(run, W.ROW)
+    return docs.select(*row_keys(), text_of("text").cast("binary").alias("text")).mapInArrow(run, W.ROW)
 
 
 def _segments(docs: DataFrame, open_rows: DataFrame, window: int, owner: int) -> DataFrame:
@@ -250,7 +250,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, sh
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
     ranges = repeated_spans(docs, window, owner, shard_words)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *W.row_keys(), text_of("text").cast("binary").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(), text_of("text").cast("binary").alias("text"))
     rows = W.join_lists(texts, ranges, "left").select("doc_id", "text", "at")
     left = rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
     return left.withColumn("kept", F.col("kept").cast("string"))

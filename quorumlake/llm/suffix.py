@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import materialize, small_side, text_of
+from .common import materialize, row_keys, small_side, text_of
 
 WINDOW = 200
 OWNER = 51
@@ -48,7 +48,7 @@ def candidate_runs(docs: DataFrame, window: int, owner: int) -> DataFrame:
                     ids.append((id_, th))
             yield W.packed(parts, ids)
 
-    return docs.select(*W.row_keys(), text_of("text").cast("binary").alias("text")).mapInArrow(run, W.ROW)
+    return docs.select(*row_keys(), text_of("text").cast("binary").alias("text")).mapInArrow(run, W.ROW)
 
 
 def short_runs(docs: DataFrame, open_rows: DataFrame, window: int, owner: int, short: int) -> DataFrame:
@@ -159,7 +159,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, sh
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.int64()) for x in (n, removed, spans)], pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     ranges = repeated_spans(docs, window, owner, short)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *W.row_keys(), text_of("text").cast("binary").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(), text_of("text").cast("binary").alias("text"))
     rows = W.join_lists(texts, ranges, "left").select("doc_id", "text", "at")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

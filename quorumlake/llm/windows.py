@@ -27,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side, text_of
+from .common import materialize, row_keys, small_side, text_of
 
 BASE = 0x9E3779B97F4A7C15
 #: Symbols that are hashed at once; runs are cut there, which only moves the cut into the open case.
 CHUNK = 1 << 18
-NO_ID = -(2**63)
 #: Bounds of what may be broadcast: rows of a table of keys; texts, and numbers in their arrays.
 MAX_BROADCAST_KEYS = 1_000_000
 MAX_BROADCAST_TEXTS = 200_000
@@ -101,11 +100,6 @@ def runs(symbols: np.ndarray, length: int, k: int, powers: Powers) -> Iterator[t
         yield h[owner], powers.of(prefix, start, n + length - 1), start + a, n
 
 
-def row_keys() -> tuple[Column, Column]:
-    """A row of documents by its id and its text's hash: rows that agree in both are the same text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of("text")).alias("th")
-
-
 def packed(parts: list[tuple[np.ndarray, ...]], ids: list[tuple[int, int]], many: list[np.ndarray] | None = None) -> pa.RecordBatch:
     """A batch of ``ROW`` from runs and the row keys they belong to."""
     none = np.empty(0, np.int64)

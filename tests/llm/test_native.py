@@ -124,7 +124,7 @@ def test_sharding(docs, odd_docs):
     assert all(v > limit for v in parents.values())  # nothing was split that fitted
     assert not any(s in parents for s in size)  # no shard lies inside another
     h = {r.doc_id: r.shard for r in got if r.doc_id is not None}
-    assert all(format(int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16), "060b").startswith(s) for k, s in h.items())
+    assert all(format(int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16), "060b").startswith(s[:60]) for k, s in h.items())  # an id above the limit splits further, by text
     placed = sharding.shard_documents(odd_docs, limit)
     assert placed.columns == [*odd_docs.columns, "shard", "shard_bytes"] and placed.count() == odd_docs.count()
     assert sharding.assign(docs.limit(0)).count() == 0
