@@ -184,3 +184,29 @@ def test_chat(spark):
         got[r.conv_id, r.n_turns, r.n_logged].append((r.part, r.rendered))
     assert {c: (n, k, "".join(x for _, x in sorted(v))) for (c, n, k), v in got.items()} == want
     assert chat.format_chats(both.limit(0)).count() == 0
+
+
+def test_pii_context_raises_and_lowers(spark):
+    good = "GB82 WEST 1234 5698 7654 32"
+    rows = [(1, f"number {good}"), (2, f"example {good}"), (3, f"sample iban {good}"), (4, "order 212-555-1234"), (5, "phone 212-555-1234"), (6, "phone 112-555-1234"), (7, "order by phone 212-555-1234"), (8, "ssn " * 30 + "x" * 60 + " 123-45-6789 123-45-6780")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert {d for d, s in got.items() if s} == {1, 3, 5}
+
+
+def test_pii_of_very_many_matches(spark):
+    """Offsets and redaction over several chunks, with characters outside ASCII and overlapping kinds."""
+    parts = [f"é😀 u{i}@x-{i % 7}.org, +49 30 1234{i:04d} 10.0.{i % 300}.1 4111111111111111 tel 212-555-{i % 10000:04d}" for i in range(1500)]
+    text = " ".join(parts) + " end"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "no match é" * 900)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(pii.find(df)).collect()}
+    counts, sha, _ = base_spans(text)
+    assert [got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone, got[1].base_sha256] == [*counts, sha] and counts[0] == 1500
+    spans = sorted((int(s), pii.KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in got[1].spans.split(",")))
+    want, at = "", 0
+    for s, k, e in spans:
+        if s >= at:
+            want += text[at:s] + f"[{pii.KINDS[k].upper()}]"
+        at = max(at, e)
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[1] == want + text[at:] and clean[2] == clean[3] == "" and clean[4] == "no match é" * 900
+    assert len(spans) > 2 * pii.CHUNK
