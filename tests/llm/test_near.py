@@ -140,3 +140,23 @@ def test_token_counts(spark, docs):
     assert tokens.count_tokens(docs.limit(0), path).count() == 0
     whole = tokens.prove_whole_tokens(open(path, encoding="utf-8").read())
     assert {"the", "house"} <= whole and all(len(tok.encode(w, add_special_tokens=False).ids) == 1 for w in list(whole)[:500])
+
+
+def test_only_uncertain_words_go_to_the_tokenizer_uncut():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    tok = Tokenizer.from_str(spec)
+    counter = tokens.Counter(spec, tokens.prove_whole_tokens(spec), tokens.prove_certain_characters(spec))
+    size = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    prose = "It’s a “typographic” text — costs €12… isn’t it? 日本語のテキスト。中文维基百科 한국어 Привет, мир! 🙂 "
+    assert counter.count(prose * 900) == size(prose * 900) and counter.fallback == 0
+    mixed = prose + "ΟΔΟΣ é <|endoftext|> "
+    assert counter.count(mixed) == size(mixed) and counter.fallback == 3
+    for c in range(0x10000):  # every character of the basic plane beside others
+        if not 0xD800 <= c < 0xE000:
+            text = f"ab{chr(c)}c {chr(c)} 1{chr(c)}'s{chr(c)}{chr(c)} É{chr(c)}"
+            assert counter.count(text) == size(text), hex(c)
+    counter.count(" ".join("ж" * n for n in range(60, 70)))
+    assert max(map(len, counter.known.keys() - counter.whole)) <= tokens.LONGEST_KNOWN
