@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.config import Config
 
 ZERO_TIME = "0001-01-01 00:00:00"
-AVG_ERROR = "customer avg_amount must not be zero"
+AVG_ERROR = "no ratio to a customer average of 0"
 
 
 def clamp(x: Column) -> Column:

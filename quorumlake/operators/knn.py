@@ -1,138 +1,55 @@
 """Exact k nearest neighbours.
 
 Rows are (id, coordinates...); the distance key is the integer sum of squared differences and ties
-go to the smaller reference id.  Two physical plans give the same rows:
-
-* ``sql``: broadcast nested-loop join of the queries, ``row_number() <= k`` over each query.  Catalyst
-  puts a partial limit below the shuffle, so each task sends k rows a query.
-* ``arrow``: each task scans its references once in Arrow batches and keeps the best k of every query
-  in NumPy; the shuffle carries k rows a query and task.  Keys are computed in doubles, exactly:
-  all terms are integers below 2**53.
-
-Either way the references are read once and never shuffled.  Queries are sent to all tasks only
-in blocks of at most ``QUERY_BLOCK`` rows; more queries mean more passes.
+go to the smaller reference id.  ``knn_arrow``, ``knn_arrays`` and ``knn_float`` are the block search
+of ``blocks`` over packed columns, arrays of any dimension and doubles.  ``knn_sql`` says the same in
+DataFrame terms and serves as the cross-check: its window sorts every pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import from_key, squared, squared_arrays
+from ..functions.distance import from_key, squared
 from ..functions.packing import COORDINATES
+from .blocks import check_k, query_blocks, search, top_k
 
-QUERY_BLOCK = 20_000
+FLOATS = tuple(f"v{i}" for i in range(14))
 
 
-def check_k(k: int) -> None:
-    if k <= 0:
-        raise ValueError("k must be positive")
+def paired(refs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every reference with every row of ``queries`` (query_id, ...): broadcasts of one block each, at any size."""
+    return reduce(DataFrame.unionByName, [refs.crossJoin(F.broadcast(part)) for part in query_blocks(queries)])
 
 
-def top_k(pairs: DataFrame, k: int, key: str = "distance_key") -> DataFrame:
-    """The k best rows of each query by (key, ref_id), with ``rank`` from 1; equal (query, reference) rows count once."""
-    order = Window.partitionBy("query_id").orderBy(key, "ref_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def squared_to(prefix: str) -> Column:
+    return squared((F.col(prefix + c), F.col(c)) for c in COORDINATES)
 
 
-def knn_sql(queries: DataFrame, refs: DataFrame, k: int, coordinates: tuple[str, ...] = COORDINATES, leave_self: bool = False) -> DataFrame:
+def knn_sql(queries: DataFrame, refs: DataFrame, k: int, leave_self: bool = False) -> DataFrame:
     """``queries`` (query_id, coordinates) against ``refs`` (ref_id, coordinates, fraud): (query_id, rank, ref_id, distance_key, fraud)."""
     check_k(k)
-    q = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in coordinates])
-    small = F.broadcast(q) if q.limit(QUERY_BLOCK + 1).count() <= QUERY_BLOCK else q
-    pairs = refs.crossJoin(small)
+    pairs = paired(refs, queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in COORDINATES]))
     if leave_self:
         pairs = pairs.where("query_id <> ref_id")
-    pairs = pairs.select("query_id", "ref_id", "fraud", squared((F.col(f"q_{c}"), F.col(c)) for c in coordinates).alias("distance_key"))
-    return top_k(pairs, k).select("query_id", "rank", "ref_id", "distance_key", "fraud")
+    return top_k(pairs.select("query_id", "ref_id", "fraud", squared_to("q_").alias("distance_key")), k).select("query_id", "rank", "ref_id", "distance_key", "fraud")
+
+
+def knn_arrow(queries: DataFrame, refs: DataFrame, k: int, leave_self: bool = False) -> DataFrame:
+    return search(queries, refs, k, COORDINATES, leave_self=leave_self)
 
 
 def knn_arrays(queries: DataFrame, refs: DataFrame, k: int, leave_self: bool = False) -> DataFrame:
-    """The same for array columns ``coords`` of any dimension; ``label`` is kept."""
-    check_k(k)
-    pairs = refs.crossJoin(F.broadcast(queries.select("query_id", F.col("coords").alias("q_coords"))))
-    if leave_self:
-        pairs = pairs.where("query_id <> ref_id")
-    return top_k(pairs.select("query_id", "ref_id", "label", squared_arrays(F.col("q_coords"), F.col("coords")).alias("distance_key")), k)
-
-
-def _best(ids: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each row of ``keys`` by (key, id); ties at the cut are kept by id."""
-    n = keys.shape[1]
-    if n <= k:
-        return np.lexsort((np.broadcast_to(ids, keys.shape), keys), axis=1)
-    cut = np.partition(keys, k - 1, axis=1)[:, k - 1 : k]
-    out = np.empty((len(keys), k), np.int64)
-    rows, places = np.nonzero(keys <= cut)
-    order = np.lexsort((ids[places], keys[rows, places], rows))
-    rows, places = rows[order], places[order]
-    first = np.searchsorted(rows, np.arange(len(keys)))
-    out[:] = places[first[:, None] + np.arange(k)]
-    return out
-
-
-def knn_arrow(queries: DataFrame, refs: DataFrame, k: int, coordinates: tuple[str, ...] = COORDINATES, leave_self: bool = False) -> DataFrame:
-    """The Arrow plan of ``knn_sql``."""
-    check_k(k)
-    spark = queries.sparkSession
-    numbered = queries.select("query_id", *coordinates)
-    total = numbered.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    parts = []
-    for i in range(blocks):
-        part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        rows = part.toPandas()  # one block: at most about QUERY_BLOCK rows
-        sent = spark.sparkContext.broadcast((rows["query_id"].to_numpy(np.int64), rows[list(coordinates)].to_numpy(np.float64)))
-        parts.append(_one_block(sent, refs.select("ref_id", "fraud", *coordinates), k, leave_self))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return top_k(found, k).select("query_id", "rank", "ref_id", "distance_key", "fraud")
-
-
-def _one_block(sent, refs: DataFrame, k: int, leave_self: bool) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = sent.value
-        if not len(qid):
-            return
-        norm = (q * q).sum(axis=1)
-        step = max(1, (1 << 22) // max(len(qid), 1))  # bounds the key matrix
-        best_key = np.empty((len(qid), 0))
-        best_id, best_fraud = np.empty((len(qid), 0), np.int64), np.empty((len(qid), 0), np.int64)
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            for a in range(0, batch.num_rows, step):
-                ids, fraud = cols[0][a : a + step], cols[1][a : a + step]
-                r = np.stack([c[a : a + step] for c in cols[2:]], axis=1).astype(np.float64)
-                keys = norm[:, None] - 2 * (q @ r.T) + (r * r).sum(axis=1)[None, :]
-                if leave_self:
-                    keys[qid[:, None] == ids[None, :]] = np.inf
-                near = _best(ids, keys, k)
-                best_key = np.concatenate((best_key, np.take_along_axis(keys, near, axis=1)), axis=1)
-                best_id = np.concatenate((best_id, ids[near]), axis=1)
-                best_fraud = np.concatenate((best_fraud, fraud[near]), axis=1)
-                order = np.lexsort((best_id, best_key), axis=1)[:, :k]
-                best_key, best_id, best_fraud = (np.take_along_axis(x, order, axis=1) for x in (best_key, best_id, best_fraud))
-        keep = np.isfinite(best_key)
-        names = np.broadcast_to(qid[:, None], best_key.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(names[keep]), pa.array(best_id[keep]), pa.array(best_key[keep].astype(np.int64)), pa.array(best_fraud[keep].astype(np.int32))], ["query_id", "ref_id", "distance_key", "fraud"])
-
-    return refs.mapInArrow(run, "query_id long, ref_id long, distance_key long, fraud int")
+    """The same for array columns ``coords`` of one dimension; ``label`` is kept."""
+    return search(queries, refs, k, ("coords",), extra="label", nested=True, leave_self=leave_self)
 
 
 def knn_float(queries: DataFrame, refs: DataFrame, k: int, leave_self: bool = False) -> DataFrame:
     """Unpacked vectors v0..v13 in doubles, summed in dimension order."""
-    check_k(k)
-    dims = [f"v{i}" for i in range(14)]
-    pairs = refs.crossJoin(F.broadcast(queries.select("query_id", *[F.col(d).alias(f"q_{d}") for d in dims])))
-    if leave_self:
-        pairs = pairs.where("query_id <> ref_id")
-    key = squared((F.col(f"q_{d}"), F.col(d)) for d in dims)
-    return top_k(pairs.select("query_id", "ref_id", "fraud", key.alias("distance_key")), k)
+    return search(queries, refs, k, FLOATS, exact=False, leave_self=leave_self)
 
 
 def nearest(query: list[int], refs: DataFrame, k: int) -> DataFrame:

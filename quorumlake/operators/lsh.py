@@ -1,22 +1,37 @@
 """Approximate neighbours by locality-sensitive hashing, in stages.
 
-A query looks into its bucket of the first table, then of the second; if it still holds fewer than k
-references it widens to Hamming distance 3 in either table, and last to a coarse grid cell.  From a
-bucket of more than ``cap`` references it reads the ``cap`` nearest by a scalar projection.  A
-reference that several stages find counts once.
+A query reads the references of its own bucket in the first table, then in the second, then those of
+all buckets at Hamming distance 1, 2, ... up to ``radius`` in either table, nearest buckets first.  It
+stops before a stage once it has read ``enough`` references.  Queries that found fewer than k after all
+of them read their coarse grid cell.  A reference that several stages find counts once.
+
+``RADIUS`` without a stop is the setting of recall 0.9 and more (a test holds it against exact search);
+``enough=k`` with ``radius=3`` is the frugal one, of low recall.  Buckets are never cut, so no candidate
+is lost to a cap.
+
+The index is stored in bucket order.  A task compares the signatures of the buckets that its batch
+holds with those of the block's queries and computes keys for matching pairs only.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import squared
-from ..functions.hashing import SEEDS, coarse_cell, probe_masks, projection, signature
+from ..functions.hashing import BITS, SEEDS, coarse_cell, projection, signature
 from ..functions.packing import COORDINATES
-from .knn import check_k, top_k
+from ..plans.shared import scratch
+from .blocks import TILE, Best, check_k, exact_keys, query_blocks, top_k
 
+#: Fixed value: references of a rank window.
 CAP = 512
+RADIUS = 2
+TABLES = ("sig0", "sig1", "coarse")
 
 
 def index(refs: DataFrame) -> DataFrame:
@@ -24,80 +39,147 @@ def index(refs: DataFrame) -> DataFrame:
     return refs.withColumns({"sig0": signature(SEEDS[0]), "sig1": signature(SEEDS[1]), "coarse": coarse_cell(), "projection": projection()})
 
 
-def bucket_ranks(indexed: DataFrame, bucket: str) -> DataFrame:
-    """Adds the rank of each reference in its bucket by (projection, ref_id) and the bucket's size."""
-    inside = Window.partitionBy(bucket)
-    return indexed.withColumns({"rk": F.row_number().over(inside.orderBy("projection", "ref_id")), "bucket_n": F.count("*").over(inside)})
-
-
 def save_index(indexed: DataFrame, path: str, bucket: str = "sig0") -> None:
     """The index in (bucket, projection, id) order; lookups skip files and row groups by their statistics, and a large bucket may span files."""
     indexed.repartitionByRange(bucket, "projection").sortWithinPartitions(bucket, "projection", "ref_id").write.parquet(path)
 
 
+def build(refs: DataFrame, path: str | None = None) -> DataFrame:
+    """The stored index of ``refs`` (ref_id, coordinates, fraud)."""
+    spark = refs.sparkSession
+    path = path or f"{scratch(spark)}/hashes-{uuid.uuid4().hex}"
+    save_index(index(refs), path)
+    return spark.read.parquet(path)
+
+
+def bucket_ranks(indexed: DataFrame, bucket: str) -> DataFrame:
+    """Adds the rank ``rk`` of each reference in its bucket by (projection, ref_id) and the bucket's size.
+
+    Ranks are counted by ranges of the projection first, so that no task orders a whole large bucket.
+    """
+    part = F.floor(F.col("projection") / (1 << 14)).alias("part")
+    sizes = indexed.groupBy(bucket, part).agg(F.count("*").alias("held"))
+    inside = Window.partitionBy(bucket)
+    before = F.coalesce(F.sum("held").over(inside.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(bucket).alias("b__"), F.col("part").alias("p__"), before.alias("before"), F.sum("held").over(inside).alias("bucket_n"))
+    own = Window.partitionBy(bucket, "part").orderBy("projection", "ref_id")
+    ranked = indexed.withColumn("part", part).withColumn("own", F.row_number().over(own))
+    joined = ranked.join(starts, (F.col(bucket) == F.col("b__")) & (F.col("part") == F.col("p__")))
+    return joined.withColumn("rk", (F.col("before") + F.col("own")).cast("int")).drop("b__", "p__", "before", "own", "part")
+
+
 def candidate_counts(queries: DataFrame, refs: DataFrame, cap: int = CAP) -> DataFrame:
     """(query_id, candidates): references in the window of each query's own bucket of the first table."""
+    if cap < 0:
+        raise ValueError("the candidate limit must not be negative")
     sizes = index(refs).groupBy("sig0").agg(F.count("*").alias("n"))
-    found = _queries(queries).join(sizes, F.col("q_sig0") == F.col("sig0"), "left")
+    found = queries.select("query_id", signature(SEEDS[0]).alias("q_sig0")).join(sizes, F.col("q_sig0") == F.col("sig0"), "left")
     n = F.coalesce("n", F.lit(0))
     return found.select("query_id", (F.least(n, F.lit(cap)) if cap else n).alias("candidates"))
 
 
 def window_of(probes: DataFrame, ranked: DataFrame, bucket: str, cap: int) -> DataFrame:
-    """References in the window of each probe (query_id, ordinal, key, q_projection, q_c*)."""
-    joined = probes.join(ranked, F.col("key") == F.col(bucket))
-    if cap == 0:
-        return joined
-    each = Window.partitionBy("query_id", "ordinal")
-    pos = F.sum(F.when(F.col("projection") < F.col("q_projection"), 1).otherwise(0)).over(each)
-    low = F.greatest(F.lit(0), pos - cap // 2)
-    joined = joined.withColumn("low", low)
-    end = F.least(F.col("bucket_n"), F.col("low") + cap)
-    start = F.when(F.col("low") + cap > F.col("bucket_n"), F.greatest(F.lit(0), F.col("bucket_n") - cap)).otherwise(F.col("low"))
-    return joined.where((F.col("rk") > start) & (F.col("rk") <= end)).drop("low")
-
-
-def _queries(queries: DataFrame) -> DataFrame:
-    named = queries.select("query_id", *COORDINATES)
-    idx = named.withColumns({"q_sig0": signature(SEEDS[0]), "q_sig1": signature(SEEDS[1]), "q_coarse": coarse_cell(), "q_projection": projection()})
-    return idx.select("query_id", "q_sig0", "q_sig1", "q_coarse", "q_projection", *[F.col(c).alias(f"q_{c}") for c in COORDINATES])
+    """References in the window of ``cap`` ranks about each probe (query_id, ordinal, key, q_projection); 0 takes the whole bucket.
 
-
-def _keyed(found: DataFrame) -> DataFrame:
-    return found.select("query_id", "ref_id", "fraud", squared((F.col(f"q_{c}"), F.col(c)) for c in COORDINATES).alias("distance_key"))
-
-
-def knn_lsh(queries: DataFrame, refs: DataFrame, k: int, radius: int = 0, cap: int = CAP, leave_self: bool = False) -> DataFrame:
-    """The staged search.  Queries that end with fewer than k neighbours keep what they have."""
+    A probe's place is the number of references of its bucket below its projection, by ranges first and
+    in the order of references and probes together inside a range.  Windows meet references by blocks of
+    ``cap`` ranks, two at most, so a large bucket gives a probe no more than 2 * ``cap`` rows to look at.
+    """
+    if cap == 0:
+        return probes.join(ranked, F.col("key") == F.col(bucket))
+    asked = probes.select("key").distinct()
+    refs = ranked.select(F.col(bucket).alias("key"), F.col("projection").alias("at"), F.lit(1).alias("ref"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("int").alias("ordinal"))
+    both = refs.join(asked, "key", "left_semi").unionByName(probes.select("key", F.col("q_projection").alias("at"), F.lit(0).alias("ref"), "query_id", F.col("ordinal").cast("int").alias("ordinal")))
+    both = both.withColumn("part", F.floor(F.col("at") / (1 << 14)))
+    inside = Window.partitionBy("key")
+    held = both.groupBy("key", "part").agg(F.sum("ref").alias("held"))
+    before = F.coalesce(F.sum("held").over(inside.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select("key", "part", before.alias("before"), F.sum("held").over(inside).alias("n"))
+    below = F.sum("ref").over(Window.partitionBy("key", "part").orderBy("at", "ref").rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("below", below).where("ref = 0").join(held, ["key", "part"])
+    low = F.greatest(F.lit(0), F.col("before") + F.col("below") - cap // 2)
+    start = F.when(low + cap > F.col("n"), F.greatest(F.lit(0), F.col("n") - cap)).otherwise(low)
+    block = lambda rank: F.floor((rank - 1) / cap).cast("int")
+    spans = placed.select("query_id", "ordinal", "key", start.alias("start"), F.least(F.col("n"), low + cap).alias("end")).where("end > start")
+    spans = spans.select("*", F.explode(F.sequence(block(F.col("start") + 1), block(F.col("end")))).alias("block"))
+    joined = ranked.withColumn("block", block(F.col("rk"))).withColumn("key", F.col(bucket)).join(spans, ["key", "block"])
+    return joined.where((F.col("rk") > F.col("start")) & (F.col("rk") <= F.col("end"))).drop("start", "end", "block")
+
+
+def stages(radius: int) -> list[tuple[str, int]]:
+    """(table, Hamming distance) in the order of reading; the coarse cell comes last."""
+    if not 0 <= radius <= BITS:
+        raise ValueError(f"the probe radius must be between 0 and {BITS}")
+    return [(t, r) for r in range(radius + 1) for t in TABLES[:2]] + [("coarse", 0)]
+
+
+def stage_of(asked: np.ndarray, held: np.ndarray, radius: int) -> np.ndarray:
+    """For signatures (sig0, sig1, coarse) of queries and references, the first stage in which a pair meets; -1 for none."""
+    last = 2 * (radius + 1)
+    far = [np.bitwise_count(asked[:, t][:, None] ^ held[:, t][None, :]).astype(np.int16) for t in (0, 1)]
+    first = np.minimum(*(np.where(h <= radius, 2 * h + t, last + 1) for t, h in enumerate(far)))
+    first = np.where((first > last) & (asked[:, 2][:, None] == held[:, 2][None, :]), last, first)
+    return np.where(first > last, -1, first)
+
+
+def knn_lsh(queries: DataFrame, indexed: DataFrame, k: int, radius: int = RADIUS, enough: int | None = None, leave_self: bool = False) -> DataFrame:
+    """The staged search on an index (``build`` or ``index``).  Queries that end with fewer than k neighbours keep what they have."""
     check_k(k)
-    if cap < 0:
-        raise ValueError("the candidate limit must not be negative")
-    indexed = index(refs).persist()
-    q = _queries(queries).persist()
-    wide = probe_masks(3)[1:] if radius == 0 else []
-    stages = [("sig0", probe_masks(radius), False), ("sig1", probe_masks(radius), False), ("sig0", wide, True), ("sig1", wide, True), ("coarse", [0], False)]
-    held = None
-    for bucket, masks, stop in stages:
-        if not masks:
-            continue
-        if held is not None:
-            counts = held.groupBy("query_id").agg(F.count("*").alias("have"))
-            open_ = q.join(counts, "query_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < k)
-        else:
-            open_ = q.withColumn("have", F.lit(0))
-        ordinals = F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("ordinal", "mask")
-        probes = open_.select("*", ordinals).withColumn("key", F.col(f"q_{bucket}").bitwiseXOR(F.col("mask")))
-        found = window_of(probes, bucket_ranks(indexed, bucket), bucket, cap)
-        if leave_self:
-            found = found.where("query_id <> ref_id")
-        if bucket != "coarse":
-            order = Window.partitionBy("query_id").orderBy("ordinal", "projection", "ref_id")
-            found = found.withColumn("nth", F.row_number().over(order))
-            if stop:  # a probe is read only while the earlier ones left fewer than k
-                before = F.min("nth").over(Window.partitionBy("query_id", "ordinal")) - 1
-                found = found.withColumn("prior", before).where(F.col("have") + F.col("prior") < k)
-            if cap:
-                found = found.where(F.col("nth") <= cap)
-        new = _keyed(found)
-        held = (new if held is None else held.union(new)).dropDuplicates(["query_id", "ref_id"]).persist()
-    return top_k(held, k).select("query_id", "rank", "ref_id", "distance_key", "fraud")
+    last = len(stages(radius)) - 1
+    if enough is not None and enough < k:
+        raise ValueError("a search can't stop before it has read k references")
+    spark, path = queries.sparkSession, f"{scratch(queries.sparkSession)}/hashed-{uuid.uuid4().hex}"
+    schema = "query_id long, band int, ref_id long, distance_key long, fraud int, n long"
+    signed = queries.select("query_id", *COORDINATES).withColumns({"sig0": signature(SEEDS[0]), "sig1": signature(SEEDS[1]), "coarse": coarse_cell()})
+    rows = indexed.select("ref_id", F.col("fraud").cast("int").alias("fraud"), *COORDINATES, *TABLES)
+    for part in query_blocks(signed):
+        table = part.toArrow()
+        column = lambda c: table[c].to_numpy().astype(np.int64)  # noqa: B023, E731
+        sent = spark.sparkContext.broadcast((column("query_id"), np.stack([column(c) for c in COORDINATES], axis=1).astype(np.float64), np.stack([column(c) for c in TABLES], axis=1)))
+        found = rows.mapInArrow(_task(sent, k, radius, enough, last, leave_self), schema)
+        _decided(found, k, last, enough).write.mode("append").parquet(path)
+        sent.destroy()
+    return spark.read.schema("query_id long, rank int, ref_id long, distance_key long, fraud int").parquet(path)
+
+
+def _task(sent, k: int, radius: int, enough: int | None, last: int, leave_self: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q, asked = sent.value
+        bands = range(last + 1) if enough is not None else (0, last)  # without a stop all but the last stage are one
+        best, count = {b: Best(len(qid), k) for b in bands}, {b: np.zeros(len(qid), np.int64) for b in bands}
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for a in range(0, batch.num_rows, TILE):
+                ids, fraud = columns[0][a : a + TILE], columns[1][a : a + TILE].astype(np.int64)
+                r = np.stack([c[a : a + TILE] for c in columns[2:16]], axis=1).astype(np.float64)
+                held = np.stack([c[a : a + TILE] for c in columns[16:]], axis=1)
+                for b in range(0, len(qid), TILE):
+                    rows = np.arange(b, min(b + TILE, len(qid)))
+                    stage = stage_of(asked[rows], held, radius)
+                    if leave_self:
+                        stage[qid[rows][:, None] == ids[None, :]] = -1
+                    if enough is None:
+                        stage[(stage >= 0) & (stage < last)] = 0
+                    keys = exact_keys(q[rows], r)
+                    for band in np.unique(stage[stage >= 0]).tolist():
+                        there = stage == band
+                        count[band][rows] += there.sum(axis=1)
+                        best[band].add(rows, np.where(there, keys, np.inf), ids, fraud)
+        for band in bands:
+            keep = np.isfinite(best[band].key)
+            names = np.broadcast_to(qid[:, None], keep.shape)[keep]
+            some = count[band] > 0
+            none = [None] * int(some.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), band, np.int32)), pa.array(best[band].id[keep]), pa.array(best[band].key[keep].astype(np.int64)), pa.array(best[band].extra[keep].astype(np.int32)), pa.array([0] * len(names), pa.int64())], ["query_id", "band", "ref_id", "distance_key", "fraud", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(qid[some]), pa.array(np.full(len(none), band, np.int32)), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(count[band][some])], ["query_id", "band", "ref_id", "distance_key", "fraud", "n"])
+
+    return run
+
+
+def _decided(found: DataFrame, k: int, last: int, enough: int | None) -> DataFrame:
+    """The k best of the stages that a query reads: each is read while the earlier ones held too few."""
+    order = Window.partitionBy("query_id").orderBy("band").rangeBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(order), F.lit(0))
+    stop = F.when(F.col("band") == last, F.lit(k)).otherwise(F.lit(enough if enough is not None else 1))
+    read = found.withColumn("before", before).where((F.col("before") < stop) & F.col("ref_id").isNotNull())
+    return top_k(read, k).select("query_id", "rank", "ref_id", "distance_key", "fraud")

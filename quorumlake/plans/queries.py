@@ -59,11 +59,34 @@ def query_rows(refs: DataFrame) -> DataFrame:
     return refs.where(F.col("ref_id") % EVERY == 0).select(F.col("ref_id").alias("query_id"), *COORDINATES)
 
 
+_BUILT: dict[tuple, object] = {}
+
+
+def _once(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[], object]) -> object:
+    """What ``make`` builds of the events table, built once an application and set of files."""
+    key = (kind, spark.sparkContext.applicationId, tuple(sorted(adapters.events(spark, sf_dir).inputFiles())))
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed rows as a Parquet store: built once, scanned by queries and references alike."""
-    path = f"{scratch(spark)}/packed-{uuid.uuid4().hex}"
-    references.write_store(packed(spark, sf_dir), path)
-    return references.read_store(spark, path)
+
+    def make() -> DataFrame:
+        path = f"{scratch(spark)}/packed-{uuid.uuid4().hex}"
+        references.write_store(packed(spark, sf_dir), path)
+        return references.read_store(spark, path)
+
+    return _once("packed", spark, sf_dir, make)
+
+
+def cell_index(spark: SparkSession, sf_dir: str) -> cells.CellIndex:
+    return _once("cells", spark, sf_dir, lambda: cells.build(stored(spark, sf_dir)))
+
+
+def hash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once("hashes", spark, sf_dir, lambda: lsh.build(stored(spark, sf_dir)))
 
 
 _RISK = "CASE mcc " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in Config().mcc_risk.items()) + " ELSE 0.5::DOUBLE END"
@@ -185,13 +208,30 @@ def error_channel_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy(F.when(F.col("error").isNull(), 200).otherwise(500).alias("status_code")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 7 IN (1, 2) THEN 400 ELSE 200 END AS status_code, CASE WHEN event_id % 7 NOT IN (1, 2) THEN value * 60 END AS amount, CASE WHEN event_id % 7 NOT IN (1, 2) AND event_id % 4 <> 0 AND event_id % 3 = 0 THEN true WHEN event_id % 7 NOT IN (1, 2) THEN false END AS has_last FROM events")
+#: What is wrong with the body of an event, by event_id % 17; 0 and others are right.
+_WRONG = {
+    1: "{", 2: None, 3: '"installments":2.5', 4: '"amount":"abc"', 5: '"installments":"2"', 6: '"requested_at":5', 7: '"requested_at":"2026-03-11"',
+    8: '"is_online":"yes"', 9: '"known_merchants":"x"', 10: '"mcc":5411', 11: '"known_merchants":[1]', 12: '"merchant":[]', 13: '"id":7',
+}
+
+
+@query(
+    f"SELECT event_id, CASE WHEN event_id % 17 BETWEEN 1 AND {max(_WRONG)} THEN 400 ELSE 200 END AS status_code, CASE WHEN event_id % 17 NOT BETWEEN 1 AND {max(_WRONG)} THEN value * 60 END AS amount, "
+    f"CASE WHEN event_id % 17 NOT BETWEEN 1 AND {max(_WRONG)} THEN event_id % 4 <> 0 AND event_id % 3 = 0 END AS has_last FROM events"
+)
 def json_request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON bodies: truncated and trailing ones are rejected, ``{}`` differs from null."""
-    e = F.col("event_id")
+    """JSON bodies: truncated and trailing ones and every wrong type are rejected, ``{}`` differs from null, unknown fields don't matter."""
+    e, kind = F.col("event_id"), F.col("event_id") % 17
     last = F.when((e % 4 != 0) & (e % 3 == 0), '"last_transaction":{}').otherwise('"last_transaction":null')
-    body = F.concat(F.lit('{"id":"'), e.cast("string"), F.lit('","transaction":{"amount":'), (F.col("value") * 60).cast("string"), F.lit(',"installments":1,"requested_at":"2026-03-11T20:23:35Z"},'), last, F.lit("}"))
-    bodies = adapters.events(spark, sf_dir).select("event_id", F.when(e % 7 == 1, F.lit("{")).when(e % 7 == 2, F.concat(body, F.lit(" {}"))).otherwise(body).alias("value"))
+    given = lambda *kinds: F.concat(*[F.when(kind == k, "," + _WRONG[k]).otherwise("") for k in kinds])
+    merchant = F.when(kind == 12, _WRONG[12]).otherwise(F.concat(F.lit('"merchant":{"id":"MERC-001"'), given(10), F.lit("}")))
+    body = F.concat(
+        F.lit("{"), F.when(kind == 13, _WRONG[13]).otherwise(F.concat(F.lit('"id":"'), e.cast("string"), F.lit('"'))),
+        F.lit(',"transaction":{"other":[1],"amount":'), F.when(kind == 4, '"abc"').otherwise((F.col("value") * 60).cast("string")),
+        F.when(kind.isin(3, 5), "").otherwise(',"installments":1'), F.when(kind.isin(6, 7), "").otherwise(',"requested_at":"2026-03-11T20:23:35Z"'), given(3, 5, 6, 7),
+        F.lit('},"customer":{"avg_amount":1'), given(9, 11), F.lit('},"terminal":{"km_from_home":null'), given(8), F.lit("},"), merchant, F.lit(","), last, F.lit("}"),
+    )
+    bodies = adapters.events(spark, sf_dir).select("event_id", F.when(kind == 1, F.lit("{")).when(kind == 2, F.concat(body, F.lit(" {}"))).otherwise(body).alias("value"))
     r = requests.parse_requests(bodies)
     good = F.col("request").isNotNull()
     return r.select("event_id", F.when(good, 200).otherwise(400).alias("status_code"), F.col("request.transaction.amount").alias("amount"), F.when(good, F.col("request.last_transaction").isNotNull()).alias("has_last"))
@@ -202,6 +242,37 @@ def store_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, sf_dir).agg(F.count("*").alias("n"), F.sum("fraud").alias("frauds"))
 
 
+@query(f"{_PACK} SELECT * FROM pk")
+def ingest_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed store and both indexes, built once; every search reads them."""
+    cell_index(spark, sf_dir)
+    hash_index(spark, sf_dir)
+    return stored(spark, sf_dir)
+
+
+_DECODED = ", ".join(f"CASE WHEN c{i} < 0 THEN -1::DOUBLE ELSE c{i}::DOUBLE / {SCALE}::DOUBLE END" for i in range(14))
+
+
+def _as_columns(refs: DataFrame) -> DataFrame:
+    return refs.select("ref_id", *[F.col("vector")[i].alias(v) for i, v in enumerate(V)], "label")
+
+
+@query(f"{_PACK} SELECT ref_id, {', '.join(f'{d} AS v{i}' for i, d in enumerate(_DECODED.split(', ')))}, CASE WHEN fraud = 1 THEN 'fraud' ELSE 'legit' END AS label FROM pk")
+def references_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All references written as one gzip JSON array, loaded with their configuration, and exported again."""
+    root = f"{scratch(spark)}/dataset-{uuid.uuid4().hex}"
+    v = vectors(spark, sf_dir).where("error IS NULL")
+    references.write_json_array(v.select(F.col("event_id").alias("ref_id"), F.array(*V).alias("vector"), "label"), f"{root}/references")
+    made = references.pack(references.validate(references.read_references(spark, f"{root}/references")))
+    ids = v.agg(F.min("event_id")).first()[0]  # places count from 0
+    return _as_columns(references.export(made.withColumn("ref_id", F.col("ref_id") + ids)))
+
+
+@query(f"{_PACK} SELECT ref_id, {', '.join(f'{d} AS v{i}' for i, d in enumerate(_DECODED.split(', ')))}, CASE WHEN fraud = 1 THEN 'fraud' ELSE 'legit' END AS label FROM pk WHERE ref_id = 42")
+def point_lookup_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_columns(references.export(references.point(stored(spark, sf_dir), 42)))
+
+
 @query(f"{_PACK} SELECT * FROM pk WHERE ref_id = 42")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.point(stored(spark, sf_dir), 42)
@@ -256,7 +327,7 @@ def knn_tie_break(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = knn.knn_arrow(qs, refs, 1, leave_self=True).select("query_id", "ref_id", "distance_key")
     at = qs.join(best, "query_id").select("query_id", F.col("ref_id").alias("first_id"), "distance_key", *[F.col(c).alias(f"q_{c}") for c in COORDINATES])
     key = knn.squared((F.col(f"q_{c}"), F.col(c)) for c in COORDINATES)
-    same = refs.crossJoin(F.broadcast(at)).where((F.col("ref_id") != F.col("query_id")) & (key == F.col("distance_key")))
+    same = knn.paired(refs, at).where((F.col("ref_id") != F.col("query_id")) & (key == F.col("distance_key")))
     return same.groupBy("query_id", F.col("first_id").alias("ref_id")).agg(F.count("*").alias("tied"))
 
 
@@ -318,23 +389,47 @@ def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- cells
 
 
-@query()
+def _cells_sql() -> str:
+    """Cells by lower medians of all rows, which the sample holds up to ``cells.SAMPLE`` rows; then their boxes."""
+    levels = ["s0 AS (SELECT *, 0 AS cell FROM pk)"]
+    for i in range(cells.LEVELS):
+        c = COORDINATES[i % len(COORDINATES)]
+        levels.append(f"m{i} AS (SELECT cell, {c} AS cut FROM (SELECT cell, {c}, row_number() OVER (PARTITION BY cell ORDER BY {c}) AS rn, count(*) OVER (PARTITION BY cell) AS n FROM s{i}) WHERE rn = (n + 1) // 2)")
+        levels.append(f"s{i + 1} AS (SELECT s.* EXCLUDE (cell), s.cell * 2 + ({c} > cut)::INT AS cell FROM s{i} s JOIN m{i} m ON s.cell = m.cell)")
+    sides = ", ".join(f"min({c}) AS low_{c}, max({c}) AS high_{c}" for c in COORDINATES)
+    return f"{_PACK}, {', '.join(levels)}, bx AS (SELECT cell, count(*) AS n, {sides} FROM s{cells.LEVELS} GROUP BY cell)"
+
+
+_CELLS = _cells_sql()
+_BOUND = " + ".join(f"greatest(low_{c} - q.{c}, q.{c} - high_{c}, 0) * greatest(low_{c} - q.{c}, q.{c} - high_{c}, 0)" for c in COORDINATES)
+_ASKED = f"SELECT ref_id AS query_id, {', '.join(COORDINATES)} FROM pk WHERE ref_id % {EVERY} = 0"
+_BUDGET = 32
+
+
+@query(f"{_CELLS} SELECT * FROM bx")
 def cell_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The box of every cell; the splits come from a hash sample, so there is no SQL for them."""
-    refs = stored(spark, sf_dir)
-    return cells.boxes(cells.assign(refs, cells.fit_splits(refs)))
+    """The box of every cell.  The SQL holds while the table fits the sample from which splits are fitted."""
+    return cell_index(spark, sf_dir).boxes
+
+
+@query(f"{_CELLS} SELECT ref_id, cell FROM s{cells.LEVELS}")
+def cell_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell of every row, as the index stores it."""
+    return cell_index(spark, sf_dir).rows.select("ref_id", "cell")
 
 
 @query(_NN_SQL)
 def knn_cells_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = stored(spark, sf_dir)
-    return _found(cells.knn_cells(query_rows(refs), refs, K, leave_self=True))
+    return _found(cells.knn_cells(query_rows(stored(spark, sf_dir)), cell_index(spark, sf_dir), K, leave_self=True))
 
 
-@query()
+@query(
+    f"{_CELLS}, near AS (SELECT * FROM (SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY bound, cell) AS nth FROM (SELECT query_id, cell, {_BOUND} AS bound FROM ({_ASKED}) q, bx)) WHERE nth <= {_BUDGET}), "
+    f"pairs AS (SELECT n.query_id, r.ref_id, r.fraud, {_KEY} AS distance_key FROM near n JOIN s{cells.LEVELS} r ON n.cell = r.cell JOIN pk q ON q.ref_id = n.query_id WHERE n.query_id <> r.ref_id), "
+    f"nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance_key, ref_id) AS rank FROM pairs) WHERE rank <= {K}) SELECT {_NN_COLUMNS} FROM nn"
+)
 def knn_cells_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = stored(spark, sf_dir)
-    return _found(cells.knn_cells_budget(query_rows(refs), refs, K, cells=32, leave_self=True))
+    return _found(cells.knn_cells_budget(query_rows(stored(spark, sf_dir)), cell_index(spark, sf_dir), K, cells=_BUDGET, leave_self=True))
 
 
 # ---------------------------------------------------------------- hashing
@@ -377,7 +472,7 @@ def lsh_bucket_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.select("ref_id", "sig0").join(q, "sig0").where("query_id <> ref_id").select("query_id", "ref_id")
 
 
-_CAP = 4
+_CAP = lsh.CAP
 
 
 @query(
@@ -386,23 +481,48 @@ _CAP = 4
     f"SELECT query_id, ref_id, rk::INT AS rk FROM j WHERE rk > CASE WHEN low + {_CAP} > n THEN greatest(0, n - {_CAP}) ELSE low END AND rk <= least(n, low + {_CAP})"
 )
 def lsh_rank_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The few references of a bucket nearest by projection."""
-    ix = lsh.index(stored(spark, sf_dir))
+    """The references of a bucket nearest by projection, as many as a rank window holds."""
+    ix = hash_index(spark, sf_dir)
     probes = ix.where(F.col("ref_id") % EVERY == 0).select(F.col("ref_id").alias("query_id"), F.lit(0).alias("ordinal"), F.col("coarse").alias("key"), F.col("projection").alias("q_projection"))
     return lsh.window_of(probes, lsh.bucket_ranks(ix.select("ref_id", "coarse", "projection"), "coarse"), "coarse", _CAP).select("query_id", "ref_id", "rk")
 
 
-@query()
+def _staged_sql(radius: int, enough: int | None) -> str:
+    """Candidates with the first stage in which they meet the query; stages are read while the earlier ones held too few."""
+    last = 2 * (radius + 1)
+    far = lambda t: f"bit_count(xor(q.sig{t}, r.sig{t}))::INT"
+    first = f"least({', '.join(f'CASE WHEN {far(t)} <= {radius} THEN 2 * {far(t)} + {t} ELSE 99 END' for t in (0, 1))})"
+    if enough is None:
+        first = f"CASE WHEN {first} < 99 THEN 0 ELSE 99 END"
+    stop = f"CASE WHEN s = {last} THEN {K} ELSE {enough or 1} END"
+    return (
+        f"{_LSH}, c0 AS (SELECT q.ref_id AS query_id, r.ref_id, r.fraud, {_KEY} AS distance_key, {first} AS s, q.coarse = r.coarse AS same FROM ix q JOIN ix r ON q.ref_id <> r.ref_id WHERE q.ref_id % {EVERY} = 0), "
+        f"c1 AS (SELECT query_id, ref_id, fraud, distance_key, CASE WHEN s = 99 THEN {last} ELSE s END AS s FROM c0 WHERE s < 99 OR same), "
+        f"st AS (SELECT query_id, s, coalesce(sum(count(*)) OVER (PARTITION BY query_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c1 GROUP BY query_id, s), "
+        f"nn AS (SELECT * FROM (SELECT c1.*, row_number() OVER (PARTITION BY c1.query_id ORDER BY distance_key, ref_id) AS rank FROM c1 JOIN st USING (query_id, s) WHERE before < {stop}) WHERE rank <= {K}) SELECT {_NN_COLUMNS} FROM nn"
+    )
+
+
+@query(_staged_sql(lsh.RADIUS, None))
 def lsh_staged_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = stored(spark, sf_dir)
-    return _found(lsh.knn_lsh(query_rows(refs), refs, K, leave_self=True))
+    """All buckets within the default radius in both tables, the coarse cell where they hold too few."""
+    return _found(lsh.knn_lsh(query_rows(stored(spark, sf_dir)), hash_index(spark, sf_dir), K, leave_self=True))
+
 
+@query(_staged_sql(3, K))
+def lsh_frugal_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, but a query stops at the first stage that has given it k references: few reads, low recall."""
+    return _found(lsh.knn_lsh(query_rows(stored(spark, sf_dir)), hash_index(spark, sf_dir), K, radius=3, enough=K, leave_self=True))
 
-@query()
+
+@query(
+    f"{_CELLS}{_PAIRS[len(_PACK) :]}, far AS (SELECT query_id, max(distance_key) AS radius FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance_key, ref_id) AS rank FROM pairs) WHERE rank <= {K} GROUP BY 1), "
+    f"vis AS (SELECT q.query_id, sum(n)::BIGINT AS visited FROM ({_ASKED}) q JOIN far USING (query_id), bx WHERE {_BOUND} <= radius GROUP BY 1) SELECT avg(visited) AS mean_visited, max(visited) AS max_visited FROM vis"
+)
 def knn_cells_visited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and most references read by the exact cell search."""
-    refs = stored(spark, sf_dir)
-    return cells.visited_rows(query_rows(refs), refs, K, leave_self=True).agg(F.avg("visited").alias("mean_visited"), F.max("visited").alias("max_visited"))
+    """Mean and most references that an exact cell search can't leave out."""
+    visited = cells.visited_rows(query_rows(stored(spark, sf_dir)), cell_index(spark, sf_dir), K, leave_self=True)
+    return visited.agg(F.avg("visited").alias("mean_visited"), F.max("visited").alias("max_visited"))
 
 
 _CANDIDATES = f"{_LSH}, b AS (SELECT sig0, count(*) AS n FROM ix GROUP BY 1), cc AS (SELECT least(n, {lsh.CAP}) AS candidates FROM ix JOIN b USING (sig0) WHERE ref_id % {EVERY} = 0)"
@@ -414,7 +534,7 @@ def lsh_candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = stored(spark, sf_dir)
     counts = lsh.candidate_counts(query_rows(refs), refs)
     whole = counts.agg(F.avg("candidates").alias("mean_candidates"), F.max("candidates").alias("max_candidates"))
-    return whole.crossJoin(evaluate.floor_index(counts, "candidates", 95))
+    return whole.crossJoin(evaluate.at_places(counts, "candidates", {"p95": evaluate.floor_index(95)}))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -422,12 +542,12 @@ def lsh_candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.events(spark, sf_dir).agg(*evaluate.nearest_rank("value", (0.5, 0.95, 0.99)))
+    return evaluate.at_places(adapters.events(spark, sf_dir), "value", {f"p{p}": evaluate.nearest_rank(p) for p in (50, 95, 99)})
 
 
 @query("SELECT value AS p95 FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events) WHERE i = n * 95 // 100")
 def p95_floor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.floor_index(adapters.events(spark, sf_dir), "value", 95)
+    return evaluate.at_places(adapters.events(spark, sf_dir), "value", {"p95": evaluate.floor_index(95)})
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,17 +602,38 @@ def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir).select("event_id", F.round("p99_score", 4).alias("p99_score"), F.round("final_score", 4).alias("final_score"))
 
 
-@query()
+_REPORT = (
+    f"{_CONFUSION}, p AS (SELECT quantile_disc(value, 0.99) AS p99 FROM events), a AS (SELECT *, fp + 3 * fn + 5 * err AS e, (fp + fn + err)::DOUBLE / n AS fr, p99 > 2000 AS late FROM cm, p), "
+    "b AS (SELECT *, fr > 0.15::DOUBLE AS cut, CASE WHEN fr <= 0.15::DOUBLE THEN 1000 * log10(1 / greatest(e::DOUBLE / n, 0.001::DOUBLE)) END AS rate, CASE WHEN fr <= 0.15::DOUBLE THEN -300 * log10(1 + e) END AS penalty, CASE WHEN late THEN -3000::DOUBLE ELSE 1000 * log10(1000 / greatest(p99, 1)) END AS latency FROM a) "
+    "SELECT n AS total, tp + fn AS fraud_count, round((tp + fn) * 100.0::DOUBLE / n, 2) AS fraud_rate, printf('%.2f', p99) AS p99, tp, tn, fp, fn, err, printf('%.2f%%', fr * 100) AS failure_rate, e::BIGINT AS weighted_errors, round(e::DOUBLE / n, 6) AS epsilon, "
+    "round(latency, 2) AS p99_score, late AS p99_cut, round(coalesce(rate + penalty, -3000::DOUBLE), 2) AS detection_score, round(rate, 2) AS rate_component, round(penalty, 2) AS absolute_penalty, cut AS detection_cut, round(latency + coalesce(rate + penalty, -3000::DOUBLE), 2) AS final_score FROM b"
+)
+
+
+@query(_REPORT)
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result document of a leave-one-out evaluation, latencies from the events table."""
-    counts = evaluate.confusion(_judged(spark, sf_dir))
-    p99 = adapters.events(spark, sf_dir).agg(*evaluate.nearest_rank("value", (0.99,)))
-    return evaluate.report(evaluate.with_scores(counts.crossJoin(p99)))
+    """The result document of a leave-one-out evaluation, latencies from the events table, read back from its JSON text field by field."""
+    judged = _judged(spark, sf_dir)
+    expected = judged.agg(F.count("*").alias("total"), F.count_if(~F.col("expected_approved")).alias("fraud_count"))
+    p99 = evaluate.at_places(adapters.events(spark, sf_dir), "value", {"p99": evaluate.nearest_rank(99)})
+    made = evaluate.report(evaluate.with_scores(evaluate.confusion(judged).crossJoin(p99)).crossJoin(expected))
+    doc = made.select(F.from_json("result", made.schema["doc"].dataType).alias("d"))
+    s = "d.scoring."
+    fields = {
+        "total": "d.expected.total", "fraud_count": "d.expected.fraud_count", "fraud_rate": "d.expected.fraud_rate", "p99": "d.p99",
+        "tp": f"{s}breakdown.true_positive_detections", "tn": f"{s}breakdown.true_negative_detections", "fp": f"{s}breakdown.false_positive_detections", "fn": f"{s}breakdown.false_negative_detections", "err": f"{s}breakdown.http_errors",
+        "failure_rate": f"{s}failure_rate", "weighted_errors": f"{s}weighted_errors_E", "epsilon": f"{s}error_rate_epsilon", "p99_score": f"{s}p99_score.value", "p99_cut": f"{s}p99_score.cut_triggered",
+        "detection_score": f"{s}detection_score.value", "rate_component": f"{s}detection_score.rate_component", "absolute_penalty": f"{s}detection_score.absolute_penalty", "detection_cut": f"{s}detection_score.cut_triggered", "final_score": f"{s}final_score",
+    }
+    return doc.select(*[F.col(path).alias(name) for name, path in fields.items()])
 
 
 # ---------------------------------------------------------------- streaming
 
 
+_ANSWER = """'{"approved":' || (fraud_score < 0.6::DOUBLE)::VARCHAR || ',"fraud_score":' || fraud_score::VARCHAR || '}'"""
+
+
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     asked = _asked(spark, sf_dir)
@@ -501,11 +642,11 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select(F.to_json(F.struct("id", tx.alias("transaction"), "customer", "merchant", "terminal", last.alias("last_transaction"))).alias("value"))
 
 
-@query(f"{_top(K).replace('ON q.ref_id <> r.ref_id', 'ON true')}, dec AS (SELECT query_id, sum(fraud)::DOUBLE / 5.0::DOUBLE AS fraud_score FROM nn GROUP BY 1) SELECT query_id::VARCHAR AS id, 200 AS status_code, fraud_score < 0.6::DOUBLE AS approved, fraud_score FROM dec")
+@query(f"{_top(K).replace('ON q.ref_id <> r.ref_id', 'ON true')}, dec AS (SELECT query_id, sum(fraud)::DOUBLE / 5.0::DOUBLE AS fraud_score FROM nn GROUP BY 1) SELECT query_id::VARCHAR AS id, 200 AS status_code, fraud_score < 0.6::DOUBLE AS approved, fraud_score, {_ANSWER} AS body FROM dec")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON bodies read as a stream, scored batch by batch against all references."""
     root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     _bodies(spark, sf_dir).repartition(3).write.text(f"{root}/in")
     run = scoring.start(scoring.read_bodies(spark, f"{root}/in", 1), stored(spark, sf_dir), f"{root}/out", f"{root}/checkpoint", once=True)
     run.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("id", "status_code", "approved", "fraud_score")
+    return spark.read.parquet(f"{root}/out").select("id", "status_code", "approved", "fraud_score", "body")
