@@ -46,7 +46,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_.table_path = path
+    return table_
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` of which nothing that is still to run reads."""
+    for t in tables:
+        spark, path = t.sparkSession, getattr(t, "table_path", None)
+        if path:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:

@@ -3,10 +3,11 @@
 Words covered by a window of 35 consecutive words that also starts anywhere else are removed.  The
 reference is the corpus itself, so its automata grow with it and can't be broadcast within any
 proven bound; instead the corpus is sharded by the window sieve of ``windows``: only runs whose
-windows can repeat remain, one for each distinct word sequence, and all runs that could share a
-window meet in one shard.  Each task builds the suffix automaton of its shard's runs, streams the
-runs through it for matching statistics (at each word, the longest suffix that occurs at least
-twice), and returns the maximal spans of at least 35 words.
+windows can repeat remain, one for each distinct word sequence with its number of occurrences, and
+all runs that could share a window meet in one shard.  Each task builds the suffix automaton of its
+shard's runs, streams the runs through it for matching statistics (at each word, the longest suffix
+that occurs at least twice), and returns the maximal spans of at least 35 words, which then hold
+wherever the run occurs.  So every removed word is found by an automaton, but for one case:
 
 A shard of more than ``SHARD_WORDS`` words of one key is cut by windows instead: each of its windows
 becomes a shard row of its own, keyed by the window's hash, so a hot passage spreads over tasks.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import materialize, row_keys, small_side, text_of
+from .common import discard, materialize, row_keys, small_side, text_of
 
 WINDOW = 35
 OWNER = 8
@@ -151,43 +152,50 @@ def candidate_runs(docs: DataFrame, window: int, owner: int) -> DataFrame:
     return docs.select(*row_keys(), text_of("text").cast("binary").alias("text")).mapInArrow(run, W.ROW)
 
 
-def _segments(docs: DataFrame, open_rows: DataFrame, window: int, owner: int) -> DataFrame:
-    """Open rows with their words: (key, id, th, start, many, words)."""
+SEGMENT = "key long, span long, many boolean, words array<long>"
+
+
+def _segments(docs: DataFrame, runs: DataFrame, window: int, owner: int) -> DataFrame:
+    """The distinct runs with their words, as rows of ``SEGMENT``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = W.Powers(W.CHUNK + window + 1)
-        names = ["key", "id", "th", "start", "many", "words"]
         for b in batches:
             out: list[tuple] = []
-            for id_, th, text, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for _, _, text, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = word_hashes(text, powers)
                 for start, n, many in map(W.unpack, at):
                     part = words[start : start + n + window - 1]
+                    prefix = powers.prefix(part)
                     # the run's key again: the smallest hash of its first window, as all of its windows have it
-                    key = powers.of(powers.prefix(part), np.arange(window - owner + 1), owner).min()
-                    out.append((int(key.astype(np.int64)), id_, th, start, many, part.view(np.int64)))
+                    key = powers.of(prefix, np.arange(window - owner + 1), owner).min()
+                    span = powers.of(prefix, np.zeros(1, np.int64), len(part))[0]
+                    out.append((int(key.astype(np.int64)), int(span.astype(np.int64)), many, part.view(np.int64)))
                 if len(out) > 4096:
-                    yield _batch(out, names)
+                    yield _batch(out)
                     out = []
-            yield _batch(out, names)
+            yield _batch(out)
+
+    return W.with_texts(docs, runs).mapInArrow(run, SEGMENT)
+
 
-    return W.with_texts(docs, open_rows).mapInArrow(run, "key long, id long, th long, start long, many boolean, words array<long>")
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "span", "many", "words"])
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+FOUND = "key long, span long, a long, n int"
 
 
 def _match(shards: DataFrame, window: int) -> DataFrame:
-    """Repeated spans (id, th, start, n) of the runs of each shard; rows of a key arrive together."""
+    """Repeated windows of the runs of each shard, as rows of ``FOUND``: the first one's place in the run, and how many."""
 
     def spans(rows: list[tuple]) -> list[tuple]:
         sam = Automaton()
         for r in rows:
-            sam.add(r[5], 2 if r[4] else 1)
+            sam.add(r[3], 2 if r[2] else 1)
         sam.close()
-        return [(r[1], r[2], r[3] + a, b - a - window + 1) for r in rows if not r[4] for a, b in sam.repeated(r[5], window)]
+        return [(r[0], r[1], a, b - a - window + 1) for r in rows for a, b in sam.repeated(r[3], window)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -195,7 +203,7 @@ def _match(shards: DataFrame, window: int) -> DataFrame:
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             found = spans(rows)
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["id", "th", "start", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["key", "span", "a", "n"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -204,33 +212,39 @@ def _match(shards: DataFrame, window: int) -> DataFrame:
                     yield out(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[3])
         yield out(held)
 
-    return shards.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, th long, start long, n int")
+    return shards.repartition("key").sortWithinPartitions("key").mapInArrow(run, FOUND)
 
 
 def _by_window(segments: DataFrame, window: int) -> DataFrame:
     """The same for keys that are too large for one task: counts of single windows."""
     place = F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("i")
-    each = segments.select("id", "th", "start", "many", "words", place).select("id", "th", "start", "many", "i", F.xxhash64(F.slice("words", F.col("i") + 1, window)).alias("h1"), F.hash(F.slice("words", F.col("i") + 1, window)).alias("h2"))
+    each = segments.select("key", "span", "many", "words", place).select("key", "span", "many", "i", F.xxhash64(F.slice("words", F.col("i") + 1, window)).alias("h1"), F.hash(F.slice("words", F.col("i") + 1, window)).alias("h2"))
     each = materialize(each, "substring-windows")
     twice = each.groupBy("h1", "h2").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("total")).where("total > 1").select("h1", "h2")
-    return each.where("not many").join(twice, ["h1", "h2"], "left_semi").select("id", "th", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n"))
+    return each.join(twice, ["h1", "h2"], "left_semi").select("key", "span", F.col("i").cast("long").alias("a"), F.lit(1).alias("n"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row (id, th, at) for each text with repeated windows: ``at`` holds start, end, ... in words."""
-    done, open_rows = W.sieve(materialize(candidate_runs(docs, window, owner), "substring-runs"), "substring")
-    segments = materialize(_segments(docs, open_rows, window, owner), "substring-segments")
+    held = W.shared_runs(materialize(candidate_runs(docs, window, owner), "substring-runs"), "substring")
+    runs = W.distinct_runs(held, "substring")
+    segments = materialize(_segments(docs, runs, window, owner), "substring-segments")
     large = materialize(segments.groupBy("key").agg(F.sum(F.size("words")).alias("size")).where(F.col("size") > shard_words).select(F.col("key").alias("large_key")), "substring-large")
-    found = done
-    small = segments
-    if not large.isEmpty():
+    if large.isEmpty():
+        found = _match(segments, window)
+    else:
         side = small_side(large, W.MAX_BROADCAST_KEYS)
         small = segments.join(side, F.col("key") == F.col("large_key"), "left_anti")
-        found = found.union(_by_window(segments.join(side, F.col("key") == F.col("large_key"), "left_semi"), window))
-    return W.ranges_of(found.union(_match(small, window)), window)
+        found = _match(small, window).union(_by_window(segments.join(side, F.col("key") == F.col("large_key"), "left_semi"), window))
+    found = materialize(found, "substring-found")
+    discard(segments, runs)
+    # what holds for a run holds wherever it occurs
+    to = small_side(found.select(F.col("key").alias("k"), F.col("span").alias("s"), "a", F.col("n").alias("m")), W.MAX_BROADCAST_KEYS)
+    spans = held.join(to, (F.col("key") == F.col("k")) & (F.col("span") == F.col("s"))).select("id", "th", (F.col("start") + F.col("a")).alias("start"), F.col("m").alias("n"))
+    return W.ranges_of(spans, window)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, shard_words: int = SHARD_WORDS) -> DataFrame:

@@ -1,12 +1,16 @@
 """Suffix-array dedup of bytes by distributed prefix doubling.
 
 Bytes covered by a 200-byte string that also starts anywhere else are removed.  A suffix array of
-every byte position isn't needed for that: the window sieve of ``windows`` proves most positions
-unique or repeated first (once by owners, once more by short runs of the open ones).  The positions
-left are sorted by prefix doubling: the first rank is the fingerprint of 50 bytes; then Spark counts
-and sorts the pairs (rank at p, rank at p + 50) and reranks to the order of 100 bytes, drops positions
-whose rank has become unique, goes on with (rank at p, rank at p + 100), and at 200 bytes, past the
-threshold, the positions that still share a rank are repeated.
+every byte position isn't needed for that: the window sieve of ``windows`` settles runs of windows
+whose owner occurs once (unique) or that occur as a whole again (repeated past the threshold).  What it
+leaves open is sorted by prefix doubling, in two grains:
+
+1. Positions are cuts of at most ``SHORT`` neighbouring windows, with the bytes that all of them hold.
+   A position's first rank is that of its first ``FIRST`` bytes.  Spark then counts and sorts the pairs
+   (rank at p, bytes at p + offset) and reranks, at offsets that double each round; positions whose
+   rank has become unique leave, and the rounds end when none is left or the cut's length is reached.
+2. In cuts that still share a rank, equal cuts are repeated; the windows of the others are ranked by
+   pairs of pairs up to the threshold of 200 bytes.
 
 Defined cases: null and empty texts have no bytes; matches never cross documents; equal rows are
 copies of each other; rows of one id with different texts are different documents; an empty
@@ -23,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import materialize, row_keys, small_side, text_of
+from .common import discard, materialize, row_keys, small_side, text_of
 
 WINDOW = 200
 OWNER = 51
-#: Windows in a short run of the second sieve.
+#: Windows in a cut.
 SHORT = 8
+#: Bytes of a position's first rank.
+FIRST = 25
 #: Bound of what may be broadcast: rows of a table of ranks.
 MAX_BROADCAST_RANKS = 200_000
 
@@ -51,17 +57,30 @@ def candidate_runs(docs: DataFrame, window: int, owner: int) -> DataFrame:
     return docs.select(*row_keys(), text_of("text").cast("binary").alias("text")).mapInArrow(run, W.ROW)
 
 
-def short_runs(docs: DataFrame, open_rows: DataFrame, window: int, owner: int, short: int) -> DataFrame:
-    """Open runs cut into runs of at most ``short`` windows, keyed by the bytes that all windows of a cut hold.
+def offsets(length: int, first: int = FIRST) -> list[tuple[int, int]]:
+    """(offset, bytes taken in) of each round: what is known doubles until it is ``length`` bytes."""
+    out, known = [], min(first, length)
+    while known < length:
+        step = min(known, length - known)
+        out.append((known, step))
+        known += step
+    return out
+
+
+def cuts(docs: DataFrame, open_rows: DataFrame, window: int, owner: int, short: int) -> DataFrame:
+    """Open runs cut into runs of at most ``short`` windows: rows of ``ROW`` with the names b0, b1, ... of their common bytes.
 
     A window belongs to the cut of its distance from its owner, divided by ``short``.  Equal windows have
-    equal distances, so they fall into the same cut, and a cut's key is the same for all of its windows.
+    equal distances, so they fall into the same cut.  b0 names the first bytes and the cut's number, b1
+    and on the bytes that each round takes in.
     """
+    parts_of = [(0, min(FIRST, window - short + 1)), *offsets(window - short + 1)]
+    names = [f"b{i}" for i in range(len(parts_of))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = W.Powers(W.CHUNK + window + 1)
         for b in batches:
-            parts, ids, many = [], [], []
+            parts, ids, many, taken = [], [], [], []
             for id_, th, text, at in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2), b.column(3), strict=True):
                 raw = _symbols(text.as_py())
                 for start, size, flag in map(W.unpack, at.as_py()):
@@ -71,13 +90,31 @@ def short_runs(docs: DataFrame, open_rows: DataFrame, window: int, owner: int, s
                     cut = (place - np.arange(size)) // short
                     low = np.flatnonzero(np.concatenate([[True], cut[1:] != cut[:-1]]))
                     n = np.diff(np.append(low, size))
-                    common = powers.of(prefix, place - cut[low] * short, window - short + 1)
-                    parts.append((common ^ W.mix(cut[low].astype(np.uint64)), powers.of(prefix, low, n + window - 1), low + start, n))
+                    begin = place - cut[low] * short
+                    part_names = [powers.of(prefix, begin + o, w) for o, w in parts_of]
+                    part_names[0] = part_names[0] ^ W.mix(cut[low].astype(np.uint64))
+                    taken.append(np.stack(part_names, axis=1).view(np.int64))
+                    parts.append((np.zeros(len(low), np.uint64), powers.of(prefix, low, n + window - 1), low + start, n))
                     ids.append((id_, th))
                     many.append(np.full(len(low), flag))
-            yield W.packed(parts, ids, many)
+            rows = W.packed(parts, ids, many)
+            table = np.concatenate(taken) if taken else np.empty((0, len(names)), np.int64)
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], *(pa.array(table[:, i]) for i in range(len(names)))], [*rows.schema.names[1:], *names])
+
+    return W.with_texts(docs, open_rows).mapInArrow(run, f"{W.ROW.removeprefix('key long, ')}, {', '.join(f'{n} long' for n in names)}")
+
 
-    return W.with_texts(docs, open_rows).mapInArrow(run, W.ROW)
+def ranked(rows: DataFrame, rounds: int) -> DataFrame:
+    """(c, key): the final rank of each of ``rows`` (c, many, b0, b1, ...) that isn't unique."""
+    alive = rows.select("c", "many", *[f"b{i}" for i in range(rounds + 1)]).withColumnRenamed("b0", "rank")
+    for i in range(1, rounds + 1):
+        before = alive
+        alive = materialize(rerank(alive.withColumnsRenamed({"rank": "a", f"b{i}": "b"}), f"cut-{i}"), f"suffix-alive-{i}")
+        if i > 1:
+            discard(before)
+        if alive.isEmpty():
+            break
+    return alive.select("c", F.col("rank").alias("key"))
 
 
 POSITION = "id long, th long, start long, many boolean"
@@ -135,7 +172,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, sh
     if window % 4 or not short <= owner <= window // 2:
         raise ValueError("the window is a multiple of 4 and the owner's width from the short run's to half of the window")
     done, open_rows = W.sieve(materialize(candidate_runs(docs, window, owner), "suffix-runs"), "suffix")
-    more, open_short = W.sieve(materialize(short_runs(docs, open_rows, window, owner, short), "suffix-short"), "suffix-short")
+    rows = cuts(docs, open_rows, window, owner, short).withColumn("c", F.monotonically_increasing_id())
+    rows = materialize(rows, "suffix-cuts")
+    ranks = ranked(rows, len(offsets(window - short + 1)))
+    alive = rows.join(small_side(ranks, MAX_BROADCAST_RANKS), "c").select("key", "span", "id", "th", "start", "n", "many")
+    alive = materialize(alive, "suffix-alive")
+    discard(rows)
+    more, open_short = W.sieve(alive, "suffix-short")
     positions = materialize(first_ranks(docs, open_short, window), "suffix-positions")
     return W.ranges_of(done.union(more).union(doubled(positions, window)), window)
 

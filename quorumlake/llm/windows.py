@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_keys, small_side, text_of
+from .common import discard, materialize, row_keys, small_side, text_of
 
 BASE = 0x9E3779B97F4A7C15
 #: Symbols that are hashed at once; runs are cut there, which only moves the cut into the open case.
@@ -111,21 +111,33 @@ def packed(parts: list[tuple[np.ndarray, ...]], ids: list[tuple[int, int]], many
     return pa.RecordBatch.from_arrays(arrays, ["key", "span", "id", "th", "start", "n", "many"])
 
 
+def shared_runs(rows: DataFrame, label: str) -> DataFrame:
+    """The (materialised) ``rows`` of ``ROW`` whose key occurs elsewhere, plus ``even``: all of the key's runs are equal."""
+    counts = rows.groupBy("key").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("total"), F.min("span").alias("low"), F.max("span").alias("high"))
+    shared = materialize(counts.where("total > 1").select(F.col("key").alias("shared_key"), (F.col("low") == F.col("high")).alias("even")), f"{label}-keys")
+    # a table of its own: beyond the broadcast bound both sides are plain shuffles, whose hot keys Spark can split
+    held = rows.join(small_side(shared, MAX_BROADCAST_KEYS), F.col("key") == F.col("shared_key")).drop("shared_key")
+    held = materialize(held, f"{label}-shared")
+    discard(rows, shared)
+    return held
+
+
+def distinct_runs(held: DataFrame, label: str) -> DataFrame:
+    """One row of ``ROW`` for each key and span of ``held``; ``many`` marks what occurs twice or more."""
+    kinds = held.groupBy("key", "span").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("total"), F.min(F.struct("id", "th", "start", "n")).alias("one"))
+    return materialize(kinds.select("key", "span", "one.*", (F.col("total") > 1).alias("many")), f"{label}-kinds")
+
+
 def sieve(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """Repeated runs (id, th, start, n), and the open runs as rows of ``ROW``, one for each key and span.
 
     ``many`` marks rows that stand for several occurrences: their windows are repeated already and
     only serve as partners.
     """
-    counts = rows.groupBy("key").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("total"), F.min("span").alias("low"), F.max("span").alias("high"))
-    shared = materialize(counts.where("total > 1").select(F.col("key").alias("shared_key"), (F.col("low") == F.col("high")).alias("even")), f"{label}-keys")
-    # a table of its own: beyond the broadcast bound both sides are plain shuffles, whose hot keys Spark can split
-    held = rows.join(small_side(shared, MAX_BROADCAST_KEYS), F.col("key") == F.col("shared_key")).drop("shared_key")
-    held = materialize(held, f"{label}-shared")
+    held = shared_runs(rows, label)
     mixed = held.where("not even")
-    kinds = materialize(mixed.groupBy("key", "span").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("total"), F.min(F.struct("id", "th", "start", "n")).alias("one")), f"{label}-kinds")
-    open_ = kinds.select("key", "span", "one.*", (F.col("total") > 1).alias("many"))
-    more = kinds.where("total > 1").select(F.col("key").alias("k"), F.col("span").alias("s"))
+    open_ = distinct_runs(mixed, label)
+    more = open_.where("many").select(F.col("key").alias("k"), F.col("span").alias("s"))
     full = mixed.join(small_side(more, MAX_BROADCAST_KEYS), (F.col("key") == F.col("k")) & (F.col("span") == F.col("s")), "left_semi").where("not many")
     done = held.where("even and not many").select("id", "th", "start", "n").union(full.select("id", "th", "start", "n"))
     return done, open_
