@@ -8,6 +8,10 @@ is used.  The score is fixed in advance and not fitted, so all labelled rows ser
 A stratum that certifies no cutoff of its own rejects nothing beyond the base rule: the cutoff of
 the pooled stratum bounds rejections over all languages together, not within one.
 
+The guarantee is on the cutoff: with confidence 1 - ``delta``, over all strata together, at most ``alpha``
+of the good documents that pass the base rule are rejected by it.  The base rule is fixed and has no
+such bound; what it rejects of the good documents comes on top (``rejections`` tells both apart).
+
 Defined cases: null or empty text has zero words and fails the base rule; a null language is a
 stratum of its own; labels with null ids or null quality are ignored; several labels for one id
 count once, as bad if any says so; an empty label table rejects nothing beyond the base rule; an
@@ -137,15 +141,25 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
     return with_verdict(features, cutoffs, "stratum", "score", "base_failed", "kept")
 
 
+def rejections(judged: DataFrame) -> DataFrame:
+    """(stratum, n, rejected_by_base, rejected_by_cutoff) of ``judge``'s rows."""
+    base, cut = F.col("base_failed"), ~F.col("base_failed") & ~F.col("kept")
+    return judged.groupBy("stratum").agg(F.count("*").alias("n"), F.count_if(base).alias("rejected_by_base"), F.count_if(cut).alias("rejected_by_cutoff"))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, columns unchanged."""
-    named = docs.select(*[F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)])
+    """The rows of ``docs`` that the rules keep, columns unchanged.
+
+    Features are computed once and stored beside the rows; calibration reads the features alone, and
+    the verdict is a filter on the stored rows, so no text is shuffled.
+    """
     at = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
-    base = docs.select("doc_id", F.col("lang").cast("string").alias("stratum"), "text")
-    features = materialize(with_features(base).select("doc_id", "stratum", "score", "base_failed"), "quality-features")
-    cutoffs = calibrate(features, labels, alpha, delta)
-    judged = with_verdict(with_features(named, at["text"], "q_").withColumn("q_stratum", F.col(at["lang"]).cast("string")), cutoffs, "q_stratum", "q_score", "q_base_failed", "q_kept")
-    return judged.where("q_kept").select(*[F.col(at[c]).alias(c) for c in docs.columns])
+    named = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in at.items()])
+    featured = with_features(named, at["text"], "q_").withColumn("q_stratum", F.col(at["lang"]).cast("string"))
+    stored = materialize(featured.select(*at.values(), "q_stratum", "q_score", "q_base_failed"), "quality-rows")
+    features = stored.select(F.col(at["doc_id"]).alias("doc_id"), F.col("q_stratum").alias("stratum"), F.col("q_score").alias("score"), F.col("q_base_failed").alias("base_failed"))
+    judged = with_verdict(stored, calibrate(features, labels, alpha, delta), "q_stratum", "q_score", "q_base_failed", "q_kept")
+    return judged.where("q_kept").select(*[F.col(a).alias(c) for c, a in at.items()])
 
 
 def oracle_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
@@ -180,6 +194,6 @@ p AS (
   FROM k WHERE k <= n * {alpha}::DOUBLE),
 u AS (SELECT stratum, min(cutoff) AS cutoff FROM p WHERE tail <= {delta}::DOUBLE / (strata * {len(grid)}) GROUP BY 1)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score,
-  NOT base_failed AND score < coalesce(u.cutoff, (SELECT cutoff FROM u WHERE stratum = '{POOLED}'), 2) AS kept
+  NOT base_failed AND score < coalesce(u.cutoff, 2) AS kept
 FROM f LEFT JOIN u ON f.stratum = u.stratum AND u.stratum <> '{POOLED}'
 """

@@ -130,3 +130,37 @@ def test_automaton_counts_repeats():
         for s in seqs:
             want = {k for i in range(len(s) - 2) if seen[tuple(s[i : i + 3])] > 1 for k in range(i, i + 3)}
             assert {k for a, b in sam.repeated(s, 3) for k in range(a, b)} == want
+
+
+def test_offsets_double_until_the_length():
+    assert suffix.offsets(193) == [(25, 25), (50, 50), (100, 93)]
+    assert suffix.offsets(20) == [] and suffix.offsets(25) == []
+    assert suffix.offsets(51, 3) == [(3, 3), (6, 6), (12, 12), (24, 24), (48, 3)]
+
+
+def test_ranks_of_cuts_by_rounds(spark):
+    """Rows that agree in all names share a rank, unique ones leave, and the rounds end early when none is left."""
+    r = random.Random(6)
+    rows = [(i, r.random() < 0.1, *[r.randrange(3) for _ in range(4)]) for i in range(200)]
+    count = Counter()
+    for _, many, *names in rows:
+        count[tuple(names)] += 2 if many else 1
+    got = {x.c: x.key for x in suffix.ranked(spark.createDataFrame(rows, "c long, many boolean, b0 long, b1 long, b2 long, b3 long"), 3).collect()}
+    assert got.keys() == {c for c, _, *names in rows if count[tuple(names)] > 1}
+    groups = {}
+    for c, _, *names in rows:
+        if c in got:
+            groups.setdefault(tuple(names), set()).add(got[c])
+    assert all(len(v) == 1 for v in groups.values()) and len({next(iter(v)) for v in groups.values()}) == len(groups)
+    lone = spark.createDataFrame([(i, False, i, 0, 0, 0) for i in range(9)], "c long, many boolean, b0 long, b1 long, b2 long, b3 long")
+    assert suffix.ranked(lone, 3).count() == 0
+
+
+def test_discarded_tables_are_gone(spark):
+    from pathlib import Path
+
+    from quorumlake.llm.common import discard, materialize
+
+    kept, gone = materialize(spark.range(3), "test-kept"), materialize(spark.range(3), "test-gone")
+    discard(gone, spark.range(1))
+    assert Path(kept.table_path).exists() and not Path(gone.table_path).exists() and kept.count() == 3
