@@ -10,8 +10,9 @@ Prefix hashes come from two levels of prefix sums, over blocks of turns and insi
 rendering gives one row for each ``PART`` turns, so no task gathers a whole long conversation.
 
 Defined cases: turns are ordered by (turn, role, text), null first; equal rows of one conversation
-count once; null role or text reads as empty; rows with a null conv_id are dropped; an empty table
-gives an empty result.
+count once; null role or text reads as empty; rows with a null conv_id are dropped; many turns without a
+number, or with one number, are ordered by ranges in several tasks; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -19,31 +20,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_side
 
 PART = 256
+#: Turns of one block beyond which it is cut by ranges.
+HEAVY = 10_000
+MAX_BROADCAST_BLOCKS = 100_000
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``sub``: blocks of more than ``HEAVY`` turns (equal or missing turn numbers) are cut by ranges of (turn, role, text)."""
+    sizes = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
+    heavy = materialize(sizes.select("conv_id", "block"), "chat-heavy")
+    if heavy.isEmpty():
+        return rows.withColumn("sub", F.lit(0))
+    side, by = small_side(heavy, MAX_BROADCAST_BLOCKS), ["conv_id", "block"]
+    ranged = rows.join(side, by, "left_semi").repartitionByRange("conv_id", "block", F.col("turn").asc_nulls_first(), "role", "text")
+    ranged = materialize(ranged.withColumn("sub", F.spark_partition_id()), "chat-ranges")  # the ranges stay as they are
+    return rows.join(side, by, "left_anti").withColumn("sub", F.lit(0)).unionByName(ranged)
 
 
 def with_positions(log: DataFrame) -> DataFrame:
-    """(conv_id, block, pos, role, text): positions from 1 in each conversation."""
+    """(conv_id, block, sub, pos, role, text): positions from 1 in each conversation."""
     rows = log.where("conv_id is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / PART), F.lit(-(2**62))))
-    sizes = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    own = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    return rows.withColumn("rn", F.row_number().over(own)).join(offsets, ["conv_id", "block"]).select("conv_id", "block", (F.col("offset") + F.col("rn")).alias("pos"), "role", "text")
+    rows = materialize(rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / PART), F.lit(-(2**62)))), "chat-rows")
+    rows = _parted(rows)
+    sizes = rows.groupBy("conv_id", "block", "sub").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("block", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("conv_id", "block", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = Window.partitionBy("conv_id", "block", "sub").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    return rows.withColumn("rn", F.row_number().over(own)).join(offsets, ["conv_id", "block", "sub"]).select("conv_id", "block", "sub", (F.col("offset") + F.col("rn")).alias("pos"), "role", "text")
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """(conv_id, pos, h1, h2): hashes of the first ``pos`` turns."""
-    item = turns.select("conv_id", "block", "pos", F.xxhash64("pos", "role", "text").alias("a"), F.xxhash64("text", "role", "pos").alias("b"))
-    sums = item.groupBy("conv_id", "block").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("conv_id", "block", *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(f"{c}0") for c in "ab"])
-    upto = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rolled = item.select("conv_id", "block", "pos", *[F.bit_xor(c).over(upto).alias(f"{c}1") for c in "ab"])
-    return rolled.join(offsets, ["conv_id", "block"]).select("conv_id", "pos", F.col("a0").bitwiseXOR(F.col("a1")).alias("h1"), F.col("b0").bitwiseXOR(F.col("b1")).alias("h2"))
+    item = turns.select("conv_id", "block", "sub", "pos", F.xxhash64("pos", "role", "text").alias("a"), F.xxhash64("text", "role", "pos").alias("b"))
+    sums = item.groupBy("conv_id", "block", "sub").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    before = Window.partitionBy("conv_id").orderBy("block", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("conv_id", "block", "sub", *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(f"{c}0") for c in "ab"])
+    upto = Window.partitionBy("conv_id", "block", "sub").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rolled = item.select("conv_id", "block", "sub", "pos", *[F.bit_xor(c).over(upto).alias(f"{c}1") for c in "ab"])
+    return rolled.join(offsets, ["conv_id", "block", "sub"]).select("conv_id", "pos", F.col("a0").bitwiseXOR(F.col("a1")).alias("h1"), F.col("b0").bitwiseXOR(F.col("b1")).alias("h2"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:

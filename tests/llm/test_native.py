@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -52,8 +53,6 @@ def test_pii_added(odd_docs):
 
 
 def test_pii_hypothesis(spark):
-    import random
-
     r = random.Random(5)
     texts = ["".join(r.choice("a1b2.3@-+ ()_é9.0 1") for _ in range(r.randint(0, 60))) for _ in range(4000)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -210,3 +209,15 @@ def test_pii_of_very_many_matches(spark):
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert clean[1] == want + text[at:] and clean[2] == clean[3] == "" and clean[4] == "no match é" * 900
     assert len(spans) > 2 * pii.CHUNK
+
+
+def test_chat_with_many_turns_of_one_number(spark, monkeypatch):
+    monkeypatch.setattr(chat, "HEAVY", 50)
+    r = random.Random(3)
+    rows = [(1, None, r.choice(["user", "assistant", None]), f"m{r.randrange(10**6)}") for _ in range(700)] + [(1, 5, "user", f"t{i}") for i in range(300)] + [(1, 900, "user", "end")]
+    rows += [(2, t, a, b) for _, t, a, b in rows[:-1]] + [(3, 0, "user", "x")] + rows[:40]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)).collect()
+    want = sorted({(t if t is not None else -1, a or "", b) for c, t, a, b in rows if c == 1})
+    text = "".join(f"<|im_start|>{a}\n{b}<|im_end|>\n" for _, a, b in want)
+    assert {(x.conv_id, x.n_turns, x.n_logged) for x in got} == {(1, len(want), 1), (3, 1, 1)}  # conversation 2 is a prefix of 1
+    assert "".join(x.rendered for x in sorted(got, key=lambda x: x.part) if x.conv_id == 1) == text
