@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialize, small_side, text_of, without_rows
+from .common import NO_ID, discard, materialize, small_side, text_of, without_rows
 from .simhash import _LOWER, _WORD, SEED, components
 from .windows import BASE, mix
 
@@ -195,7 +195,8 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     pairs = materialize(one.withColumnRenamed("node", "a").join(other, "key").where(fits).select("a", "b").distinct(), "overlap-pairs")
     side = lambda c, p: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(p))
     both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b")
-    pairs = materialize(_sieved(both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "p", "q")), "overlap-sieved")
+    proposed, pairs = pairs, materialize(_sieved(both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "p", "q")), "overlap-sieved")
+    discard(proposed)
 
     large = held.where(F.col("m") > SMALL)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
@@ -216,7 +217,9 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     dealt = dealt.select("key", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node")
     forests = _forests(dealt.join(found, "node").select("key", "x", "y", "node", "sh"))
-    return near.union(forests).distinct()
+    edges = materialize(near.union(forests).distinct(), "overlap-edges")
+    discard(nodes, shared, held, pairs, wanted, found)
+    return edges
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialize, row_keys, small_side, text_of, without_rows
+from .common import NO_ID, discard, materialize, row_keys, small_side, text_of, without_rows
 
 SHINGLE = 4
 RADIUS = 4
@@ -163,16 +163,18 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b): minimum labels with pointer jumping."""
     both = materialize(edges.union(edges.select("b", "a")).distinct(), "cc-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "cc-labels")
+    table = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "cc-labels")
     while True:
+        labels = table.select("node", "root")
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         moved = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         # the root is a node itself: take the root's own label
         jumped = moved.join(labels.select(F.col("node").alias("root"), F.col("root").alias("up")), "root").select("node", "old", F.least("root", "up").alias("root"))
-        step = materialize(jumped, "cc-labels")
-        labels = step.select("node", "root")
-        if step.where("old <> root").isEmpty():
-            return labels
+        before, table = table, materialize(jumped, "cc-labels")
+        discard(before)
+        if table.where("old <> root").isEmpty():
+            discard(both)
+            return table.select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
