@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -381,6 +382,45 @@ def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("query_id", "fraud_count", "fraud_score", "approved", "status_code")
 
 
+#: Every kind of failure, by event_id % 5: no vector, a search that fails, too few references, a body that can't be read; then none.
+@query(
+    f"{_DECIDE} SELECT event_id, CASE event_id // {EVERY} % 5 WHEN 3 THEN 400 WHEN 4 THEN 200 ELSE 500 END AS status_code, CASE event_id // {EVERY} % 5 WHEN 0 THEN 'vectorize request' WHEN 1 THEN 'search nearest neighbors' WHEN 2 THEN 'decide' WHEN 3 THEN 'decode' END AS error_stage, "
+    f"CASE WHEN event_id // {EVERY} % 5 = 4 THEN fraud_score END AS fraud_score FROM events LEFT JOIN dec ON query_id = event_id WHERE event_id % {EVERY} = 0"
+)
+def score_error_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, asked = stored(spark, sf_dir), _asked(spark, sf_dir)
+    kind = F.floor(F.col("event_id") / EVERY) % 5
+    zero = F.col("customer").withField("avg_amount", F.lit(0.0))
+
+    def failing(q: DataFrame, r: DataFrame, k: int) -> DataFrame:
+        raise ValueError("no index")
+
+    parts = [
+        decide.score(asked.where(kind == 0).withColumn("customer", zero), refs, search=_leave_self),
+        decide.score(asked.where(kind == 1), refs, search=failing),
+        decide.score(asked.where(kind == 2), refs.limit(3), search=knn.knn_arrow),
+        decide.score(asked.where(kind == 4), refs, search=_leave_self),
+    ]
+    scored = reduce(DataFrame.unionByName, parts)
+    broken = requests.parse_requests(asked.where(kind == 3).select("query_id", F.lit('{"id":').alias("value")))
+    return decide.status(broken, scored).select(F.col("query_id").alias("event_id"), "status_code", "error_stage", "fraud_score")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY event_id)::INT - 1 AS position, event_id::VARCHAR AS id, label = 'legit' AS expected_approved, amount FROM (SELECT event_id, value * 60 AS amount, CASE WHEN event_type = 'error' OR value > 300 THEN 'fraud' ELSE 'legit' END AS label FROM events WHERE event_id % {EVERY} = 0)")
+def labelled_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled test-set file, written and read again."""
+    path = f"{scratch(spark)}/labelled-{uuid.uuid4().hex}"
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    tx = F.col("transaction").withField("requested_at", stamp(F.col("transaction.requested_at")))
+    last = F.when(F.col("last_transaction").isNotNull(), F.col("last_transaction").withField("timestamp", stamp(F.col("last_transaction.timestamp"))))
+    request = F.struct("id", tx.alias("transaction"), "customer", "merchant", "terminal", last.alias("last_transaction"))
+    entry = F.struct("event_id", request.alias("request"), (F.col("label") == "legit").alias("expected_approved"))
+    entries = _asked(spark, sf_dir).agg(F.sort_array(F.collect_list(entry)).alias("entries"))  # the file is one document
+    entries.select(F.to_json(F.struct("entries")).alias("value")).write.text(path)
+    rows = requests.read_labelled(spark, path)
+    return rows.select("position", "request.id", "expected_approved", F.col("request.transaction.amount").alias("amount"))
+
+
 @query(f"{_DECIDE} SELECT fraud_score, fraud_score < 0.6::DOUBLE AS approved, count(*) AS n FROM dec GROUP BY 1, 2")
 def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide_scores(spark, sf_dir).groupBy("fraud_score", "approved").agg(F.count("*").alias("n"))
