@@ -127,3 +127,21 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; a null or reused id doesn't decide for other texts."""
     bad = materialize(contaminated_rows(docs, benchmark).select("id", "th").distinct(), "decon-bad")
     return without_rows(docs, list(row_keys()), bad, max_rows=MAX_BROADCAST_ROWS)
+
+
+_SQL_WORDS = """list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '{marks}', ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"""
+#: By brute force: every window of a document that holds enough of an item's shingles, compared with it.
+ORACLE_SQL = f"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS.format(marks=PUNCTUATION.replace("'", "''"))} AS w FROM documents),
+bw AS (SELECT item_id, {_SQL_WORDS.format(marks=PUNCTUATION.replace("'", "''"))} AS w FROM benchmark),
+d AS MATERIALIZED (SELECT r, doc_id, list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) AS sh FROM dw),
+b AS MATERIALIZED (SELECT item_id, len(sh) AS size, sh FROM (SELECT item_id, list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) AS sh FROM bw) WHERE len(sh) > 0),
+p AS MATERIALIZED (SELECT r, generate_subscripts(sh, 1) - 1 AS pos, unnest(sh) AS h FROM d),
+c AS MATERIALIZED (SELECT item_id, size, h, count(*) AS times FROM (SELECT item_id, size, unnest(sh) AS h FROM b) GROUP BY ALL),
+pair AS (SELECT r, item_id, size, count(*) AS hits FROM p JOIN c USING (h) GROUP BY ALL HAVING count(*) >= {SIMILARITY} * size),
+win AS (SELECT r, item_id, size, unnest(range(0, greatest(len(sh) - size, 0) + 1)) AS start FROM pair JOIN d USING (r)),
+near AS (SELECT win.r, win.item_id, win.size, start, p.h, count(*) AS times FROM win JOIN p ON p.r = win.r AND p.pos >= start AND p.pos < start + win.size GROUP BY ALL),
+s AS (SELECT r, near.item_id, near.size, start, sum(least(near.times, coalesce(c.times, 0)))::DOUBLE AS m, sum(near.times)::DOUBLE AS n FROM near LEFT JOIN c ON c.item_id = near.item_id AND c.h = near.h GROUP BY ALL),
+best AS (SELECT *, m / (n + size - m) AS similarity, row_number() OVER (PARTITION BY r, item_id ORDER BY m / (n + size - m) DESC, start) AS nth FROM s WHERE m / (n + size - m) >= {SIMILARITY})
+SELECT doc_id, item_id, start::BIGINT AS start_word, size::BIGINT AS n_shingles, similarity FROM best JOIN d USING (r) WHERE nth = 1
+"""

@@ -81,6 +81,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": substring.ORACLE_SQL,
         "op3_source_mixing": mixing.ORACLE_SQL,
+        "op5_benchmark_decontamination": decontam.ORACLE_SQL,
         "op7_suffix_array_dedup": suffix.ORACLE_SQL,
         "op8_sharding": sharding.ORACLE_SQL,
         "op9_quality_rules": quality.oracle_sql(),
