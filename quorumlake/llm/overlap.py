@@ -1,7 +1,10 @@
-"""Near copies by the exact Jaccard similarity of five-word shingle sets.
+"""Near copies by SimHash, verified and completed by the exact Jaccard similarity of five-word shingle sets.
 
-Two texts are near copies when their sets share at least ``SIMILARITY`` of their union.  The search
-loses no pair:
+Two texts are near copies when their sets share at least ``SIMILARITY`` of their union.  The SimHash
+method of ``simhash`` comes first: 64-bit fingerprints of the sets, one-wildcard variants, candidates
+within ``RADIUS`` bits, each verified by the sets.  That links what differs little, groups of thousands
+included, but near copies of that similarity differ by 8 bits on average, so fingerprints alone lose
+most of them.  An exact join finds the rest; pairs that are connected already need no comparison:
 
 1. Prefixes: in any fixed order of all shingles, two sets of that similarity share one of the first
    ``n - ceil(0.8 n) + 1`` shingles of either.  The order puts what is frequent in a sample of the
@@ -29,14 +32,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, discard, materialize, small_side, text_of, without_rows
-from .simhash import _LOWER, _WORD, SEED, components
+from .simhash import _LOWER, _WORD, SEED, candidate_links, components
 from .windows import BASE, mix
 
 SHINGLE = 5
 #: The similarity as a fraction: 4 of 5.
 NUM, DEN = 4, 5
+#: Bits by which candidates of the fingerprints may differ, the most that three segments cover.
+RADIUS = 5
 SMALL = 64
 BLOCK = 1024
+#: Shingles whose bits are counted at once.
+CHUNK = 1 << 15
 SAMPLE = 20_000
 MAX_FREQUENT = 500_000
 MAX_BROADCAST_ROWS = 1_000_000
@@ -65,6 +72,14 @@ def parities(sh: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def set_print(sh: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(sh), CHUNK):
+        ones += np.unpackbits(sh[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(sh), bitorder="little").tobytes(), "little")
+
+
 def _may_be_near(p: bytes, q: bytes, total: int) -> bool:
     """Can sets of ``total`` shingles together and these parities be near?  Longer parities fold to shorter ones."""
     x, y = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
@@ -99,7 +114,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(row, id, node, n, parity, prefix) for each row of ``docs``; ``node`` is a hash of the whole set."""
+    """(row, id, node, n, fp, parity, prefix) for each row of ``docs``; ``node`` is a hash of the whole set, ``fp`` its SimHash."""
     late = frequent(docs)
     order = np.argsort(late)
     known = docs.sparkSession.sparkContext.broadcast((late[order], order))
@@ -109,22 +124,23 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
         late, rank = known.value
         for b in batches:
-            node, size, parity, prefix = [], [], [], []
+            node, size, prints, parity, prefix = [], [], [], [], []
             for t in b.column(2):
                 sh = shingle_set(t.as_py())
                 n = len(sh)
                 node.append(xxhash.xxh64_intdigest(sh.tobytes(), SEED))
                 size.append(n)
+                prints.append(set_print(sh))
                 parity.append(parities(sh))
                 if n and len(late):
                     at = np.minimum(np.searchsorted(late, sh), len(late) - 1)
                     sh = sh[np.argsort(np.where(late[at] == sh, rank[at] + 1, 0), kind="stable")]
                 prefix.append(sh[: n - -(-NUM * n // DEN) + 1].view(np.int64))
-            arrays = [b.column(0), b.column(1), _signed(np.array(node, np.uint64)), pa.array(size, pa.int32()), pa.array(parity, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "node", "n", "parity", "prefix"])
+            arrays = [b.column(0), b.column(1), _signed(np.array(node, np.uint64)), pa.array(size, pa.int32()), _signed(np.array(prints, np.uint64)), pa.array(parity, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "node", "n", "fp", "parity", "prefix"])
 
     rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("id"), text_of("text").cast("binary").alias("text"))
-    return materialize(rows.mapInArrow(run, "row long, id long, node long, n int, parity binary, prefix array<long>"), "overlap-rows")
+    return materialize(rows.mapInArrow(run, "row long, id long, node long, n int, fp long, parity binary, prefix array<long>"), "overlap-rows")
 
 
 def _sieved(pairs: DataFrame) -> DataFrame:
@@ -182,9 +198,45 @@ def _forests(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def sets_for(docs: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
+    """(node, sh): the shingles of the (materialised) ``wanted`` (node, row)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "sh"])
+
+    texts = docs.select(row_key().alias("row"), text_of("text").cast("binary").alias("text")).join(small_side(wanted, MAX_BROADCAST_ROWS), "row")
+    return materialize(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(sets, "node long, sh array<long>"), label)
+
+
+def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The near ones of ``pairs`` (a, b), by the sets in ``found``."""
+    compared = pairs.join(found.select(F.col("node").alias("a"), F.col("sh").alias("s")), "a").join(found.select(F.col("node").alias("b"), F.col("sh").alias("t")), "b")
+    inter = F.size(F.array_intersect("s", "t"))
+    return compared.where(DEN * inter >= NUM * (F.size("s") + F.size("t") - inter)).select("a", "b")
+
+
+def _wanted(nodes: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return materialize(nodes.join(ends, "node", "left_semi").select("node", "row"), label)
+
+
+def fingerprint_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between near copies that the SimHash method proposes, a table."""
+    near = materialize(candidate_links(nodes.select("node", "fp"), RADIUS), "overlap-alike")
+    wanted = _wanted(nodes, near, "overlap-alike-wanted")
+    found = sets_for(docs, wanted, "overlap-alike-sets")
+    edges = materialize(verified(near, found), "overlap-alike-edges")
+    discard(near, wanted, found)
+    return edges
+
+
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes with the components of all near pairs; ``rows`` as from ``sets_of(docs)``."""
-    nodes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")), "overlap-nodes")
+    nodes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")), "overlap-nodes")
+    alike = fingerprint_links(docs, nodes)
+    joined = components(alike)
+
     keyed = nodes.select("node", "n", F.explode("prefix").alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "overlap-keys")
     held = materialize(keyed.join(small_side(shared, MAX_BROADCAST_ROWS), "key"), "overlap-shared")
@@ -193,32 +245,24 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     other = one.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
     fits = (F.col("a") < F.col("b")) & (DEN * F.least("n", "n_b") >= NUM * F.greatest("n", "n_b"))
     pairs = materialize(one.withColumnRenamed("node", "a").join(other, "key").where(fits).select("a", "b").distinct(), "overlap-pairs")
-    side = lambda c, p: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(p))
-    both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b")
+    rooted = nodes.select("node", "n", "parity").join(small_side(joined, MAX_BROADCAST_ROWS), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    side = lambda c, p: rooted.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}"), F.col("parity").alias(p))
+    both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").where("root_a <> root_b")  # the others are connected
     proposed, pairs = pairs, materialize(_sieved(both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "p", "q")), "overlap-sieved")
     discard(proposed)
 
     large = held.where(F.col("m") > SMALL)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
-    wanted = materialize(nodes.join(wanted, "node", "left_semi").select("node", "row"), "overlap-wanted")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "sh"])
-
-    texts = docs.select(row_key().alias("row"), text_of("text").cast("binary").alias("text")).join(small_side(wanted, MAX_BROADCAST_ROWS), "row")
-    found = materialize(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(sets, "node long, sh array<long>"), "overlap-sets")
-    compared = pairs.join(found.select(F.col("node").alias("a"), F.col("sh").alias("s")), "a").join(found.select(F.col("node").alias("b"), F.col("sh").alias("t")), "b")
-    inter = F.size(F.array_intersect("s", "t"))
-    near = compared.where(DEN * inter >= NUM * (F.size("s") + F.size("t") - inter)).select("a", "b")
+    wanted = _wanted(nodes, pairs.union(large.select(F.col("node").alias("a"), F.col("node").alias("b"))), "overlap-wanted")
+    found = sets_for(docs, wanted, "overlap-sets")
+    near = verified(pairs, found)
 
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     dealt = large.select("key", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("mine"))
     dealt = dealt.select("key", "node", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node")
     forests = _forests(dealt.join(found, "node").select("key", "x", "y", "node", "sh"))
-    edges = materialize(near.union(forests).distinct(), "overlap-edges")
-    discard(nodes, shared, held, pairs, wanted, found)
+    edges = materialize(alike.union(near).union(forests).distinct(), "overlap-edges")
+    discard(nodes, shared, held, pairs, wanted, found, alike)
     return edges
 
 

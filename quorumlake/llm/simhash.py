@@ -160,6 +160,15 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def candidate_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) of nodes that may be alike: ``prints`` (node, fp), one row a node; forests as of ``links``, and equal fingerprints."""
+    first = materialize(prints.groupBy("fp").agg(F.min("node").alias("rep")), "simhash-reps")
+    same = prints.join(first, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    end = lambda c: first.select(F.col("fp").alias(f"fp_{c}"), F.col("rep").alias(c))
+    apart = links(first.select("fp"), radius).toDF("fp_a", "fp_b").join(end("a"), "fp_a").join(end("b"), "fp_b").select("a", "b")
+    return same.union(apart)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b): minimum labels with pointer jumping."""
     both = materialize(edges.union(edges.select("b", "a")).distinct(), "cc-edges")

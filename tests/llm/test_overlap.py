@@ -71,3 +71,31 @@ def test_stage_after_quality_rules(spark, docs):
     after = corpus_pipeline.near_dedup_stage(spark, corpus_pipeline.quality_stage(spark, docs, SF), SF)
     assert after.columns == docs.columns
     assert sorted((x.doc_id is None, x.doc_id or 0) for x in after.collect()) == brute_kept(before)
+
+
+def test_fingerprints_link_what_differs_little(spark):
+    """The SimHash part alone: it links near copies only, among them all that differ in few bits."""
+    r = random.Random(9)
+    rows = []
+    for g in range(12):
+        base = [f"v{r.randrange(3000)}" for _ in range(400)]
+        rows += [(100 * g + i, " ".join(edited(r, base, r.choice([0, 0.001, 0.003, 0.02])))) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = overlap.sets_of(docs)
+    text = {x.node: dict(rows)[x.id] for x in nodes.collect()}
+    prints = {x.node: x.fp & (2**64 - 1) for x in nodes.collect()}
+    distinct = overlap.materialize(nodes.dropDuplicates(["node"]), "test-nodes")
+    edges = [(e.a, e.b) for e in overlap.fingerprint_links(docs, distinct).collect()]
+    sets = {n: shingles(t) for n, t in text.items()}
+    assert edges and all(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in edges)
+    root = {n: n for n in text}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    close = [(a, b) for a in text for b in text if a < b and (prints[a] ^ prints[b]).bit_count() <= 3 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(close) > 10 and sum(find(a) == find(b) for a, b in close) >= 0.9 * len(close)
