@@ -2,7 +2,8 @@
 
 Every stage works on all that its predecessor kept and returns whole rows; the last adds ``shard``
 and ``shard_bytes``.  Near-duplicates are texts whose sets of five-word shingles have a Jaccard
-similarity of 0.8 or more; the document of smallest id of each group stays.
+similarity of 0.8 or more: SimHash candidates are verified, and an exact join finds what fingerprints miss.
+The document of smallest id of each group stays.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality rules", quality_stage),
-    ("near-dedup", near_dedup_stage),
+    ("SimHash near-dedup", near_dedup_stage),
     ("benchmark decontamination", decontamination_stage),
     ("source mixing", mixing_stage),
     ("sharding", sharding_stage),
