@@ -103,6 +103,19 @@ def query_blocks(queries: DataFrame) -> Iterator[DataFrame]:
         yield queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
 
 
+def collected_blocks(queries: DataFrame) -> Iterator[pa.Table]:
+    """The blocks on the driver, one at a time.  The plan of ``queries`` runs once: more than a block are stored first."""
+    few = queries.limit(QUERY_BLOCK + 1).toArrow()
+    if few.num_rows <= QUERY_BLOCK:
+        yield few
+        return
+    del few
+    path = f"{scratch(queries.sparkSession)}/queries-{uuid.uuid4().hex}"
+    queries.write.parquet(path)
+    for part in query_blocks(queries.sparkSession.read.parquet(path)):
+        yield part.toArrow()
+
+
 def everything(_sent: object, _further: list[np.ndarray], ids: np.ndarray, best: Best) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Every query with every reference."""
     yield np.arange(len(best.key)), np.arange(len(ids))
@@ -122,8 +135,7 @@ def search(
     path = f"{scratch(spark)}/neighbors-{uuid.uuid4().hex}"
     rows = refs.select("ref_id", F.col(extra).cast("long").alias("x"), *coordinates, *further)
     schema = f"query_id long, ref_id long, distance_key {kind}, x long"
-    for part in query_blocks(queries.select("query_id", *coordinates)):
-        block = part.toArrow()
+    for block in collected_blocks(queries.select("query_id", *coordinates)):
         ids = block["query_id"].to_numpy().astype(np.int64)
         vectors = _vectors([block[c].combine_chunks() for c in coordinates], nested) if len(ids) else np.empty((0, 0))
         sent = spark.sparkContext.broadcast((ids, vectors, prepare(ids, vectors) if len(ids) else None))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import BITS, SEEDS, coarse_cell, projection, signature
 from ..functions.packing import COORDINATES
 from ..plans.shared import scratch
-from .blocks import TILE, Best, check_k, exact_keys, query_blocks, top_k
+from .blocks import TILE, Best, check_k, collected_blocks, exact_keys, top_k
 
 #: Fixed value: references of a rank window.
 CAP = 512
@@ -132,8 +132,7 @@ def knn_lsh(queries: DataFrame, indexed: DataFrame, k: int, radius: int = RADIUS
     schema = "query_id long, band int, ref_id long, distance_key long, fraud int, n long"
     signed = queries.select("query_id", *COORDINATES).withColumns({"sig0": signature(SEEDS[0]), "sig1": signature(SEEDS[1]), "coarse": coarse_cell()})
     rows = indexed.select("ref_id", F.col("fraud").cast("int").alias("fraud"), *COORDINATES, *TABLES)
-    for part in query_blocks(signed):
-        table = part.toArrow()
+    for table in collected_blocks(signed):
         column = lambda c: table[c].to_numpy().astype(np.int64)  # noqa: B023, E731
         sent = spark.sparkContext.broadcast((column("query_id"), np.stack([column(c) for c in COORDINATES], axis=1).astype(np.float64), np.stack([column(c) for c in TABLES], axis=1)))
         found = rows.mapInArrow(_task(sent, k, radius, enough, last, leave_self), schema)
