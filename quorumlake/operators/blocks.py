@@ -11,7 +11,6 @@ Keys of integer coordinates are computed in doubles, exactly: all terms are inte
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import scratch
+from ..plans.shared import fresh
 
 QUERY_BLOCK = 20_000
 #: Keys that are computed at once, queries and references of such a tile.
@@ -110,7 +109,7 @@ def collected_blocks(queries: DataFrame) -> Iterator[pa.Table]:
         yield few
         return
     del few
-    path = f"{scratch(queries.sparkSession)}/queries-{uuid.uuid4().hex}"
+    path = fresh(queries.sparkSession, "queries")
     queries.write.parquet(path)
     for part in query_blocks(queries.sparkSession.read.parquet(path)):
         yield part.toArrow()
@@ -132,7 +131,7 @@ def search(
     """
     check_k(k)
     spark, kind = queries.sparkSession, "long" if exact else "double"
-    path = f"{scratch(spark)}/neighbors-{uuid.uuid4().hex}"
+    path = fresh(spark, "neighbors")
     rows = refs.select("ref_id", F.col(extra).cast("long").alias("x"), *coordinates, *further)
     schema = f"query_id long, ref_id long, distance_key {kind}, x long"
     for block in collected_blocks(queries.select("query_id", *coordinates)):

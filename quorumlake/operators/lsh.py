@@ -15,7 +15,6 @@ holds with those of the block's queries and computes keys for matching pairs onl
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import BITS, SEEDS, coarse_cell, projection, signature
 from ..functions.packing import COORDINATES
-from ..plans.shared import scratch
+from ..plans.shared import fresh
 from .blocks import TILE, Best, check_k, collected_blocks, exact_keys, top_k
 
 #: Fixed value: references of a rank window.
@@ -47,7 +46,7 @@ def save_index(indexed: DataFrame, path: str, bucket: str = "sig0") -> None:
 def build(refs: DataFrame, path: str | None = None) -> DataFrame:
     """The stored index of ``refs`` (ref_id, coordinates, fraud)."""
     spark = refs.sparkSession
-    path = path or f"{scratch(spark)}/hashes-{uuid.uuid4().hex}"
+    path = path or fresh(spark, "hashes")
     save_index(index(refs), path)
     return spark.read.parquet(path)
 
@@ -128,7 +127,7 @@ def knn_lsh(queries: DataFrame, indexed: DataFrame, k: int, radius: int = RADIUS
     last = len(stages(radius)) - 1
     if enough is not None and enough < k:
         raise ValueError("a search can't stop before it has read k references")
-    spark, path = queries.sparkSession, f"{scratch(queries.sparkSession)}/hashed-{uuid.uuid4().hex}"
+    spark, path = queries.sparkSession, fresh(queries.sparkSession, "hashed")
     schema = "query_id long, band int, ref_id long, distance_key long, fraud int, n long"
     signed = queries.select("query_id", *COORDINATES).withColumns({"sig0": signature(SEEDS[0]), "sig1": signature(SEEDS[1]), "coarse": coarse_cell()})
     rows = indexed.select("ref_id", F.col("fraud").cast("int").alias("fraud"), *COORDINATES, *TABLES)

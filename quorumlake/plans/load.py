@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import references
 from .config import Config, load_config, setting
-from .shared import scratch
+from .shared import fresh
 
 
 @dataclass(frozen=True)
@@ -21,7 +20,7 @@ class Dataset:
 def load_dataset(spark: SparkSession, references_path: str, mcc_path: str, normalization_path: str, store_path: str | None = None) -> Dataset:
     """Configuration, then references: the first thing that is wrong ends the load, and no half-written store is returned."""
     config = load_config(mcc_path, normalization_path)
-    path = store_path or f"{scratch(spark)}/store-{uuid.uuid4().hex}"
+    path = store_path or fresh(spark, "store")
     checked = references.validate(references.read_references(spark, references_path))
     references.write_store(references.pack(checked), path)
     return Dataset(config, references.read_store(spark, path))

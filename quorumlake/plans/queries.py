@@ -5,7 +5,6 @@ Searches take as queries every row whose id is divisible by 100, against all oth
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,7 +18,7 @@ from ..operators import cells, decide, evaluate, knn, lsh
 from ..sources import adapters, references, requests
 from ..streaming import scoring
 from .config import Config
-from .shared import scratch
+from .shared import fresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 V = [f"v{i}" for i in range(14)]
@@ -75,7 +74,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed rows as a Parquet store: built once, scanned by queries and references alike."""
 
     def make() -> DataFrame:
-        path = f"{scratch(spark)}/packed-{uuid.uuid4().hex}"
+        path = fresh(spark, "packed")
         references.write_store(packed(spark, sf_dir), path)
         return references.read_store(spark, path)
 
@@ -261,7 +260,7 @@ def _as_columns(refs: DataFrame) -> DataFrame:
 @query(f"{_PACK} SELECT ref_id, {', '.join(f'{d} AS v{i}' for i, d in enumerate(_DECODED.split(', ')))}, CASE WHEN fraud = 1 THEN 'fraud' ELSE 'legit' END AS label FROM pk")
 def references_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All references written as one gzip JSON array, loaded with their configuration, and exported again."""
-    root = f"{scratch(spark)}/dataset-{uuid.uuid4().hex}"
+    root = fresh(spark, "dataset")
     v = vectors(spark, sf_dir).where("error IS NULL")
     references.write_json_array(v.select(F.col("event_id").alias("ref_id"), F.array(*V).alias("vector"), "label"), f"{root}/references")
     made = references.pack(references.validate(references.read_references(spark, f"{root}/references")))
@@ -302,7 +301,7 @@ def knn_exact_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_VEC}, pairs AS (SELECT q.event_id AS query_id, r.event_id AS ref_id, {_FLOAT_KEY} AS d FROM vec q JOIN vec r ON q.event_id <> r.event_id WHERE q.event_id % {EVERY} = 0) SELECT query_id, rank::INT AS rank, ref_id, round(sqrt(d), 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rank FROM pairs) WHERE rank <= {K}")
 def knn_exact_float(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch(spark)}/vectors-{uuid.uuid4().hex}"
+    path = fresh(spark, "vectors")
     vectors(spark, sf_dir).where("error IS NULL").select(F.col("event_id").alias("ref_id"), *V, is_fraud(F.col("label")).alias("fraud")).write.parquet(path)
     rows = spark.read.parquet(path)
     found = knn.knn_float(rows.where(F.col("ref_id") % EVERY == 0).withColumnRenamed("ref_id", "query_id"), rows, K, leave_self=True)
@@ -409,7 +408,7 @@ def score_error_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT row_number() OVER (ORDER BY event_id)::INT - 1 AS position, event_id::VARCHAR AS id, label = 'legit' AS expected_approved, amount FROM (SELECT event_id, value * 60 AS amount, CASE WHEN event_type = 'error' OR value > 300 THEN 'fraud' ELSE 'legit' END AS label FROM events WHERE event_id % {EVERY} = 0)")
 def labelled_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A labelled test-set file, written and read again."""
-    path = f"{scratch(spark)}/labelled-{uuid.uuid4().hex}"
+    path = fresh(spark, "labelled")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     tx = F.col("transaction").withField("requested_at", stamp(F.col("transaction.requested_at")))
     last = F.when(F.col("last_transaction").isNotNull(), F.col("last_transaction").withField("timestamp", stamp(F.col("last_transaction.timestamp"))))
@@ -685,7 +684,7 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_top(K).replace('ON q.ref_id <> r.ref_id', 'ON true')}, dec AS (SELECT query_id, sum(fraud)::DOUBLE / 5.0::DOUBLE AS fraud_score FROM nn GROUP BY 1) SELECT query_id::VARCHAR AS id, 200 AS status_code, fraud_score < 0.6::DOUBLE AS approved, fraud_score, {_ANSWER} AS body FROM dec")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON bodies read as a stream, scored batch by batch against all references."""
-    root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    root = fresh(spark, "stream")
     _bodies(spark, sf_dir).repartition(3).write.text(f"{root}/in")
     run = scoring.start(scoring.read_bodies(spark, f"{root}/in", 1), stored(spark, sf_dir), f"{root}/out", f"{root}/checkpoint", once=True)
     run.awaitTermination()

@@ -6,16 +6,21 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _own: dict[str, str] = {}
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one of our own only in local mode without it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -27,6 +32,32 @@ def scratch(spark: SparkSession) -> str:
     return _own[app]
 
 
+def fresh(spark: SparkSession, label: str) -> str:
+    """A new path for an intermediate table; inside ``temporary`` it is deleted at the end."""
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark keeps it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables that are made inside go at the end, so results must be written by then."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        for path in _made.get():
+            delete(spark, path)
+        _made.reset(token)
+
+
 def reach(spark: SparkSession) -> None:
     """Lets Python workers that see this folder import the package, wherever the driver was started.
 

@@ -12,6 +12,7 @@ from quorumlake.functions.hashing import planes, probe_masks
 from quorumlake.functions.packing import COORDINATES, pack, unpack
 from quorumlake.functions.vectorize import vectorize
 from quorumlake.operators import blocks, cells, decide, evaluate, knn, lsh
+from quorumlake.plans import shared
 from quorumlake.plans.config import Config, Normalization, load_config
 from quorumlake.plans.load import load_from_environment
 from quorumlake.sources import references, requests
@@ -426,3 +427,17 @@ def test_load_client(spark):
     assert [tuple(r) for r in instances.collect()] == [("a", 2)]
     with pytest.raises(ValueError):
         load.run_load(spark, call, [], callers=0)
+
+
+def test_stream_leaves_no_tables_behind(spark, tmp_path, monkeypatch):
+    refs, _ = generated(spark)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "scratch").mkdir()
+    monkeypatch.setattr(shared, "scratch", lambda _: str(tmp_path / "scratch"))
+    for i in range(2):
+        (tmp_path / "in" / f"{i}.json").write_text(body(id=str(i)) + "\n{\n")
+    run = scoring.start(scoring.read_bodies(spark, str(tmp_path / "in"), 1), refs, str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
+    run.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.batch, r.id or "", r.status_code) for r in got.collect()) == [(0, "", 400), (0, "0", 200), (1, "", 400), (1, "1", 200)]
+    assert list((tmp_path / "scratch").iterdir()) == []
