@@ -65,6 +65,33 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+#: Bits of a bitmap: 16 MB whatever the size of the table it is made of.
+FILTER_BITS = 1 << 27
+
+
+def bitmap(values: DataFrame, column: str) -> DataFrame:
+    """A bitmap with a bit for each value of the whole numbers ``column``, as rows (m__, words) of 1,024 words of 32 bits."""
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    maps = values.groupBy(F.bitmap_bucket_number(bit).alias("m__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map"))
+    word = lambda i: F.conv(F.hex(F.substring(F.col("map"), i * 4 + 1, F.lit(4))), 16, 10).cast("long")
+    signed = lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x).cast("int")
+    words = F.transform(F.transform(F.sequence(F.lit(0), F.lit(1023)), word), signed)
+    return materialize(maps.select("m__", words.alias("words")), "bitmaps")
+
+
+def tested(rows: DataFrame, column: str, maps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``column`` a bitmap may hold (all that it holds and a few by chance), and those that it can't hold."""
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    place = F.bitmap_bit_position(bit).cast("int")
+    # a word holds four bytes, the first one highest; a byte's bits count from its lowest
+    shift = (3 - F.floor(place / 8).cast("int") % 4) * 8 + place % 8
+    word = F.get(F.col("words"), F.call_function("shiftright", place, F.lit(5)))
+    hit = F.coalesce(F.call_function("shiftrightunsigned", word, shift).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    marked = rows.withColumn("b__", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), F.col("b__") == F.col("m__"), "left")
+    cut = lambda cond: marked.where(cond).select(*rows.columns)
+    return cut(hit), cut(~hit)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, which is computed once even where ``body`` uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -87,19 +114,34 @@ def row_keys() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of("text")).alias("th")
 
 
+def matching(rows: DataFrame, names: list[str], side: DataFrame, max_rows: int) -> DataFrame:
+    """``rows`` whose columns ``names`` are in ``side``; beyond the bound only rows that a bitmap of the last one marks are shuffled."""
+    if side.count() <= max_rows:
+        return rows.join(F.broadcast(side), names, "left_semi")
+    return tested(rows, names[-1], bitmap(side, names[-1]))[0].join(side, names, "left_semi")
+
+
 def without_rows(docs: DataFrame, keys: list[Column], gone: DataFrame, once: DataFrame | None = None, max_rows: int = 1_000_000) -> DataFrame:
     """``docs`` without the rows whose ``keys`` are in ``gone``, and with one row for each of ``once``; columns unchanged.
 
-    ``gone`` and ``once`` are materialised and have one column for each key, in order.
+    ``gone`` and ``once`` are materialised and have one column for each key, in order; the last key is a hash.
     """
     names = [f"k_{i}__" for i in range(len(keys))]
     inner = [f"in_{i}__" for i in range(len(docs.columns))]
     named = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(docs.columns, inner, strict=True)], *[k.alias(n) for k, n in zip(keys, names, strict=True)])
-    kept = named.join(small_side(gone.toDF(*names), max_rows), names, "left_anti")
+
+    def without(rows: DataFrame, side: DataFrame) -> DataFrame:
+        """Beyond the bound only rows that a bitmap of the last key marks are shuffled, texts and all."""
+        if side.count() <= max_rows:
+            return rows.join(F.broadcast(side), names, "left_anti")
+        maybe, surely = tested(rows, names[-1], bitmap(side, names[-1]))
+        return maybe.join(side, names, "left_anti").unionByName(surely)
+
+    kept = without(named, gone.toDF(*names))
     if once is not None and not once.isEmpty():
-        side = small_side(once.toDF(*names), max_rows)
-        single = kept.join(side, names, "left_semi").dropDuplicates(names)
-        kept = kept.join(side, names, "left_anti").unionByName(single)
+        side = once.toDF(*names)
+        single = matching(kept, names, side, max_rows).dropDuplicates(names)
+        kept = without(kept, side).unionByName(single)
     return kept.select(*[F.col(a).alias(c) for c, a in zip(docs.columns, inner, strict=True)])
 
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, SPACE, let, materialize, row_keys, small_side, text_of, without_rows
+from .common import NO_ID, SPACE, let, matching, materialize, row_keys, small_side, text_of, without_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -97,7 +97,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return F.struct(F.size(sh).alias("n"), F.transform(numbers, lambda p: F.struct(p.alias("part"), low(p).alias("low"), F.slice(sh, low(p) + 1, step + 2 * longest).alias("sh"))).alias("parts"))
 
     some = materialize(wanted.select("id", "th").distinct(), "decon-texts")
-    there = docs.select(*row_keys(), F.col("text")).join(small_side(some, MAX_BROADCAST_ROWS), ["id", "th"], "left_semi")
+    there = matching(docs.select(*row_keys(), F.col("text")), ["id", "th"], some, MAX_BROADCAST_ROWS)
     cut = there.select("id", "th", let(shingles(text_of("text")), parts).alias("s")).select("id", "th", F.col("s.n").alias("n"), F.inline("s.parts"))
     cut = cut.join(small_side(wanted, MAX_BROADCAST_ROWS // 10), ["id", "th", "part"]).select("id", "th", "n", "low", "sh", F.explode("windows").alias("w"))
     begin = F.greatest(F.least(F.col("w.start"), F.col("n") - F.col("w.size")), F.lit(0))

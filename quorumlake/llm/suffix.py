@@ -6,9 +6,10 @@ whose owner occurs once (unique) or that occur as a whole again (repeated past t
 leaves open is sorted by prefix doubling, in two grains:
 
 1. Positions are cuts of at most ``SHORT`` neighbouring windows, with the bytes that all of them hold.
-   A position's first rank is that of its first ``FIRST`` bytes.  Spark then counts and sorts the pairs
-   (rank at p, bytes at p + offset) and reranks, at offsets that double each round; positions whose
-   rank has become unique leave, and the rounds end when none is left or the cut's length is reached.
+   A position's first rank is the fingerprint of its first ``FIRST`` bytes.  Spark then counts and sorts
+   the pairs (rank at p, fingerprint of as many bytes at p + offset) and reranks, at offsets that double
+   each round; positions whose rank has become unique leave, and the rounds end when none is left or
+   the cut's length is reached.
 2. In cuts that still share a rank, equal cuts are repeated; the windows of the others are ranked by
    pairs of pairs up to the threshold of 200 bytes.
 
@@ -36,7 +37,7 @@ SHORT = 8
 #: Bytes of a position's first rank.
 FIRST = 25
 #: Bound of what may be broadcast: rows of a table of ranks.
-MAX_BROADCAST_RANKS = 200_000
+MAX_BROADCAST_RANKS = 10_000
 
 
 def _symbols(text: bytes) -> np.ndarray:

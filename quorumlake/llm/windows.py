@@ -27,16 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, row_keys, small_side, text_of
+from .common import bitmap, discard, materialize, row_keys, small_side, tested, text_of
 
 BASE = 0x9E3779B97F4A7C15
 #: Symbols that are hashed at once; runs are cut there, which only moves the cut into the open case.
 CHUNK = 1 << 18
 #: Bounds of what may be broadcast: rows of a table of keys; texts, and numbers in their arrays.
-MAX_BROADCAST_KEYS = 1_000_000
-MAX_BROADCAST_TEXTS = 200_000
-MAX_BROADCAST_ITEMS = 2_000_000
-FILTER_BITS = 1 << 27
+MAX_BROADCAST_KEYS = 10_000
+MAX_BROADCAST_TEXTS = 1_000
+MAX_BROADCAST_ITEMS = 10_000
 ROW = "key long, span long, id long, th long, start long, n int, many boolean"
 
 
@@ -112,13 +111,16 @@ def packed(parts: list[tuple[np.ndarray, ...]], ids: list[tuple[int, int]], many
 
 
 def shared_runs(rows: DataFrame, label: str) -> DataFrame:
-    """The (materialised) ``rows`` of ``ROW`` whose key occurs elsewhere, plus ``even``: all of the key's runs are equal."""
+    """The (materialised) ``rows`` of ``ROW`` whose key occurs elsewhere, plus ``even``: all of the key's runs are equal.
+
+    A bitmap of the shared keys keeps most other rows out of the join, whose hot keys Spark can split.
+    """
     counts = rows.groupBy("key").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("total"), F.min("span").alias("low"), F.max("span").alias("high"))
     shared = materialize(counts.where("total > 1").select(F.col("key").alias("shared_key"), (F.col("low") == F.col("high")).alias("even")), f"{label}-keys")
-    # a table of its own: beyond the broadcast bound both sides are plain shuffles, whose hot keys Spark can split
-    held = rows.join(small_side(shared, MAX_BROADCAST_KEYS), F.col("key") == F.col("shared_key")).drop("shared_key")
+    maps = bitmap(shared, "shared_key")
+    held = tested(rows, "key", maps)[0].join(small_side(shared, MAX_BROADCAST_KEYS), F.col("key") == F.col("shared_key")).drop("shared_key")
     held = materialize(held, f"{label}-shared")
-    discard(rows, shared)
+    discard(rows, shared, maps)
     return held
 
 
@@ -149,28 +151,11 @@ def small_lists(lists: DataFrame) -> bool:
     return rows <= MAX_BROADCAST_TEXTS and items <= MAX_BROADCAST_ITEMS
 
 
-def listed(texts: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``texts`` (id, th, ...) that ``lists`` may name, and those that it can't name.
-
-    A bitmap of ``FILTER_BITS`` bits, 16 MB whatever the size of the table, holds the text hashes of
-    ``lists``.  So only texts that have something to do are shuffled to the lists, and a few by chance.
-    """
-    bit = lambda th: F.pmod(th, F.lit(FILTER_BITS))
-    maps = lists.groupBy(F.bitmap_bucket_number(bit(F.col("th"))).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit(F.col("th")))).alias("map"))
-    maps = materialize(maps, "windows-bitmaps")
-    place = F.bitmap_bit_position(bit(F.col("th")))
-    byte = F.conv(F.hex(F.substring(F.col("map"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.call_function("getbit", byte, (place % 8).cast("int")) == 1, F.lit(False))
-    marked = texts.withColumn("b__", F.bitmap_bucket_number(bit(F.col("th")))).join(F.broadcast(maps.withColumnRenamed("bucket", "m__")), F.col("b__") == F.col("m__"), "left")
-    cut = lambda cond: marked.where(cond).select(*texts.columns)
-    return cut(hit), cut(~hit)
-
-
 def join_lists(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """``texts`` (id, th, ...) with the arrays of ``lists``: by broadcast within the bounds, else by a shuffle of the texts that matter."""
+    """``texts`` (id, th, ...) with the arrays of ``lists``: by broadcast within the bounds, else by a shuffle of the texts that a bitmap marks."""
     if small_lists(lists):
         return texts.join(F.broadcast(lists), ["id", "th"], how)
-    some, others = listed(texts, lists)
+    some, others = tested(texts, "th", bitmap(lists, "th"))
     found = some.join(lists, ["id", "th"], how)
     return found.unionByName(others.withColumn("at", F.lit(None).cast("array<bigint>"))) if how == "left" else found
 

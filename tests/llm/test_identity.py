@@ -1,11 +1,12 @@
 """Rows without an id, rows that share one, and copies of one row are told apart by every operator that drops or places rows."""
 
+import random
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from quorumlake.llm import decontam, mixing, overlap, sharding, simhash
+from quorumlake.llm import common, decontam, mixing, overlap, sharding, simhash
 
 from .conftest import SF, WORD
 
@@ -44,6 +45,31 @@ def test_windows_of_long_documents_come_from_parts(spark, monkeypatch):
     assert whole[ids[0]][0] == 150 and whole[ids[2]][0] == len(long.split()) - len(items[2].split())
 
 
+def test_bitmaps_hold_all_and_little_more(spark, monkeypatch):
+    r = random.Random(1)
+    values = [r.getrandbits(64) - (1 << 63) for _ in range(20_000)]
+    held = set(values[:5000])
+    maps = common.bitmap(spark.createDataFrame([(v,) for v in held], "v long"), "v")
+    rows = spark.createDataFrame([(v,) for v in values], "x long")
+    maybe, surely = ([x.x for x in part.collect()] for part in common.tested(rows, "x", maps))
+    assert Counter(maybe + surely) == Counter(values) and held <= set(maybe) and len(maybe) < 5020
+    monkeypatch.setattr(common, "FILTER_BITS", 1 << 15)
+    maps = common.bitmap(spark.createDataFrame([(v,) for v in held], "v long"), "v")
+    maybe, surely = (len(part.collect()) for part in common.tested(rows, "x", maps))
+    assert maybe + surely == 20_000 and 6000 < maybe < 9000
+
+
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_rows_are_dropped_by_broadcast_and_by_bitmap(spark, bound):
+    rows = [(i % 7, f"t{i % 50}", i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    key = docs.select(*common.row_keys(), "text")
+    gone, once = (common.materialize(key.where(c).select("id", "th").distinct(), "test-keys") for c in ("text < 't2'", "text like 't3%'"))
+    left = common.without_rows(docs, list(common.row_keys()), gone, once, bound).collect()
+    want = Counter((d, t) for d, t, _ in rows if t >= "t2")
+    assert Counter((x.doc_id, x.text) for x in left) == Counter({k: 1 if k[1].startswith("t3") else n for k, n in want.items()})
+
+
 @pytest.mark.parametrize("drop", [simhash.drop_near_duplicates, overlap.drop_near_copies])
 def test_near_duplicates_keep_unique_texts_of_repeated_ids(spark, drop):
     x, u, v, w = (prose(c) for c in "xuvw")
