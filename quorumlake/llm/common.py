@@ -60,6 +60,13 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches in small parts, since rows take several times their size as Python objects."""
+    for b in batches:
+        for i in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(i, rows)
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint when the (materialised) table has at most ``max_rows`` rows, else none."""
     return F.broadcast(df) if df.count() <= max_rows else df

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, discard, materialize, small_side, text_of, without_rows
+from .common import NO_ID, discard, materialize, sliced, small_side, text_of, without_rows
 from .simhash import _LOWER, _WORD, SEED, candidate_links, components
 from .windows import BASE, mix
 
@@ -101,7 +101,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
     """Shingles that a sample of the documents holds three times or more, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([_signed(shingle_set(t.as_py()))], ["h"])
 
@@ -123,7 +123,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
         import xxhash
 
         late, rank = known.value
-        for b in batches:
+        for b in sliced(batches):
             node, size, prints, parity, prefix = [], [], [], [], []
             for t in b.column(2):
                 sh = shingle_set(t.as_py())
@@ -147,7 +147,7 @@ def _sieved(pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of (a, b, n, p, q) whose parities allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             ok = [_may_be_near(p, q, n) for n, p, q in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -185,7 +185,7 @@ def _forests(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
-        for b in batches:
+        for b in sliced(batches):
             for k, x, y, n, s in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
                 if (k, x, y) != key:
                     if len(group) > 1:
@@ -202,7 +202,7 @@ def sets_for(docs: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
     """(node, sh): the shingles of the (materialised) ``wanted`` (node, row)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "sh"])
 
     texts = docs.select(row_key().alias("row"), text_of("text").cast("binary").alias("text")).join(small_side(wanted, MAX_BROADCAST_ROWS), "row")

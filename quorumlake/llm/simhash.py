@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, discard, materialize, row_keys, small_side, text_of, without_rows
+from .common import NO_ID, discard, materialize, row_keys, sliced, small_side, text_of, without_rows
 
 SHINGLE = 4
 RADIUS = 4
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, id, th, fp) for each row of ``docs`` (doc_id, text); id and th as from ``row_keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps = [_signed(fingerprint(t.as_py(), shingle)) for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps, pa.int64())], ["doc_id", "id", "th", "fp"])
 

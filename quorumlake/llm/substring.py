@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import discard, materialize, row_keys, small_side, text_of
+from .common import discard, materialize, row_keys, sliced, small_side, text_of
 
 WINDOW = 35
 OWNER = 8
@@ -141,7 +141,7 @@ def candidate_runs(docs: DataFrame, window: int, owner: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = W.Powers(W.CHUNK + window + 1)
-        for b in batches:
+        for b in sliced(batches):
             parts, ids = [], []
             for id_, th, text in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2), strict=True):
                 for part in W.runs(word_hashes(text.as_py(), powers), window, owner, powers):
@@ -160,7 +160,7 @@ def _segments(docs: DataFrame, runs: DataFrame, window: int, owner: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = W.Powers(W.CHUNK + window + 1)
-        for b in batches:
+        for b in sliced(batches):
             out: list[tuple] = []
             for _, _, text, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = word_hashes(text, powers)
@@ -205,7 +205,7 @@ def _match(shards: DataFrame, window: int) -> DataFrame:
             found = spans(rows)
             return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["key", "span", "a", "n"])
 
-        for b in batches:
+        for b in sliced(batches):
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 # a shard is any number of whole keys: it ends with a key once it is large enough
                 if size > SHARD_WORDS // 4 and row[0] != held[-1][0]:
@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, sh
     """(doc_id, n_words, n_removed, kept) for each row of ``docs`` (doc_id, text); ``kept`` is the text left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             n, removed, kept = [], [], []
             for text, at in zip(b.column(1), b.column(2), strict=True):
                 words = _WORD.findall(text.as_py())

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import discard, materialize, row_keys, small_side, text_of
+from .common import discard, materialize, row_keys, sliced, small_side, text_of
 
 WINDOW = 200
 OWNER = 51
@@ -47,7 +47,7 @@ def _symbols(text: bytes) -> np.ndarray:
 def candidate_runs(docs: DataFrame, window: int, owner: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = W.Powers(W.CHUNK + window + 1)
-        for b in batches:
+        for b in sliced(batches):
             parts, ids = [], []
             for id_, th, text in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2), strict=True):
                 for part in W.runs(_symbols(text.as_py()), window, owner, powers):
@@ -80,7 +80,7 @@ def cuts(docs: DataFrame, open_rows: DataFrame, window: int, owner: int, short:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = W.Powers(W.CHUNK + window + 1)
-        for b in batches:
+        for b in sliced(batches):
             parts, ids, many, taken = [], [], [], []
             for id_, th, text, at in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2), b.column(3), strict=True):
                 raw = _symbols(text.as_py())
@@ -130,7 +130,7 @@ def first_ranks(docs: DataFrame, open_rows: DataFrame, window: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = W.Powers(W.CHUNK + window + 1)
-        for b in batches:
+        for b in sliced(batches):
             found: list[tuple] = []
             for id_, th, text, at in zip(*(c.to_pylist() for c in b.columns[:2]), b.column(2), b.column(3), strict=True):
                 raw = _symbols(text.as_py())
@@ -188,7 +188,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, sh
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of ``docs`` (doc_id, text); ``kept`` is binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             n, removed, spans, kept = [], [], [], []
             for text, at in zip(b.column(1), b.column(2), strict=True):
                 raw, left, count = _symbols(text.as_py()), text.as_py(), 0

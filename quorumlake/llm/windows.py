@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, materialize, row_keys, small_side, tested, text_of
+from .common import bitmap, discard, materialize, row_keys, sliced, small_side, tested, text_of
 
 BASE = 0x9E3779B97F4A7C15
 #: Symbols that are hashed at once; runs are cut there, which only moves the cut into the open case.
@@ -182,7 +182,7 @@ def ranges_of(spans: DataFrame, length: int) -> DataFrame:
     """Runs of repeated windows (id, th, start, n) to one row for each text: ``at``, the disjoint ranges of symbols as start, end, start, end..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for at in b.column(2):
                 v = np.sort(at.values.to_numpy(zero_copy_only=False))
