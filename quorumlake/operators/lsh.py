@@ -9,8 +9,11 @@ of them read their coarse grid cell.  A reference that several stages find count
 ``enough=k`` with ``radius=3`` is the frugal one, of low recall.  Buckets are never cut, so no candidate
 is lost to a cap.
 
-The index is stored in bucket order.  A task compares the signatures of the buckets that its batch
-holds with those of the block's queries and computes keys for matching pairs only.
+The index is stored in bucket order.  A block of queries is answered in two scans.  The first one reads the
+buckets of equal signatures, met by their sorted values: it says which queries have found enough, and the
+k-th key that they hold bounds the rest.  Without a stop, the second scan compares these queries with the
+leaves of references within that bound (``leaves``) and leaves out what no bucket within the radius holds.
+With a stop, they are done.  Queries that the first scan gave too few go through all stages, signature by signature.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import BITS, SEEDS, coarse_cell, projection, signature
 from ..functions.packing import COORDINATES
 from ..plans.shared import fresh
-from .blocks import TILE, Best, check_k, collected_blocks, exact_keys, top_k
+from .blocks import PART, TILE, Best, check_k, collected_blocks, exact_keys, parts, top_k
+from .leaves import GROUP, LEAF, grouped, near_pairs
 
 #: Fixed value: references of a rank window.
 CAP = 512
@@ -128,18 +132,126 @@ def knn_lsh(queries: DataFrame, indexed: DataFrame, k: int, radius: int = RADIUS
     if enough is not None and enough < k:
         raise ValueError("a search can't stop before it has read k references")
     spark, path = queries.sparkSession, fresh(queries.sparkSession, "hashed")
-    schema = "query_id long, band int, ref_id long, distance_key long, fraud int, n long"
     signed = queries.select("query_id", *COORDINATES).withColumns({"sig0": signature(SEEDS[0]), "sig1": signature(SEEDS[1]), "coarse": coarse_cell()})
     rows = indexed.select("ref_id", F.col("fraud").cast("int").alias("fraud"), *COORDINATES, *TABLES)
     for table in collected_blocks(signed):
         column = lambda c: table[c].to_numpy().astype(np.int64)  # noqa: B023, E731
-        sent = spark.sparkContext.broadcast((column("query_id"), np.stack([column(c) for c in COORDINATES], axis=1).astype(np.float64), np.stack([column(c) for c in TABLES], axis=1)))
-        found = rows.mapInArrow(_task(sent, k, radius, enough, last, leave_self), schema)
-        _decided(found, k, last, enough).write.mode("append").parquet(path)
-        sent.destroy()
+        ids, q, asked = column("query_id"), np.stack([column(c) for c in COORDINATES], axis=1).astype(np.float64), np.stack([column(c) for c in TABLES], axis=1)
+
+        def scan(task, some: np.ndarray, *more) -> DataFrame:
+            """What ``task`` finds for the queries ``some``."""
+            sent = spark.sparkContext.broadcast((ids[some], q[some], asked[some], *more))  # noqa: B023
+            here = fresh(spark, "hashed-scan")
+            rows.mapInArrow(task(sent, k, radius, enough, last, leave_self), SCHEMA).write.parquet(here)
+            sent.destroy()
+            return spark.read.schema(SCHEMA).parquet(here)
+
+        equal = scan(_equal_task, np.arange(len(ids)))
+        bound = _bounds(equal, ids, k, last, enough)
+        done, left = np.flatnonzero(np.isfinite(bound)), np.flatnonzero(~np.isfinite(bound))
+        found = []
+        if len(done):
+            names = spark.createDataFrame(pa.table({"query_id": np.unique(ids[done])}))
+            # the bound counts rows of the first scan, so those at it are found again
+            found.append(scan(_near_task, done, bound[done]) if enough is None else equal.join(names, "query_id", "left_semi"))
+        if len(left):
+            found.append(scan(_task, left))
+        for part in found:
+            _decided(part, k, last, enough).write.mode("append").parquet(path)
     return spark.read.schema("query_id long, rank int, ref_id long, distance_key long, fraud int").parquet(path)
 
 
+SCHEMA = "query_id long, band int, ref_id long, distance_key long, fraud int, n long"
+
+
+def _bounds(equal: DataFrame, ids: np.ndarray, k: int, last: int, enough: int | None) -> np.ndarray:
+    """Of each query the k-th key of what the scan of equal signatures found; infinite if that was too little to stop."""
+    best = _decided(equal, k, last, enough).groupBy("query_id").agg(F.max("distance_key").alias("key"), F.count("*").alias("held"))
+    counts = equal.groupBy("query_id").agg(F.sum("n").alias("n"))
+    # a query whose id several rows share is left to the scan of all stages
+    known = best.join(counts, "query_id").where((F.col("held") == k) & (F.col("n") >= (enough or k))).select("query_id", "key").toArrow()
+    key = dict(zip(known["query_id"].to_pylist(), known["key"].to_pylist(), strict=True))
+    names, times = np.unique(ids, return_counts=True)
+    single = set(names[times == 1].tolist())
+    return np.array([key[i] if i in key and i in single else np.inf for i in ids.tolist()], np.float64)
+
+
+def _columns(part: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    columns = [c.to_numpy(zero_copy_only=False) for c in part]
+    return columns[0], columns[1].astype(np.int64), np.stack(columns[2:16], axis=1).astype(np.float64), np.stack(columns[16:], axis=1)
+
+
+def _held(rows: int) -> int:
+    return max(PART // rows, 1)
+
+
+def _equal_task(sent, k: int, _radius: int, _enough: int | None, _last: int, leave_self: bool):
+    """Stages 0 and 1: the references that share a query's bucket in the first table, then in the second."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q, asked = sent.value
+        best, count = {b: Best(len(qid), k) for b in (0, 1)}, {b: np.zeros(len(qid), np.int64) for b in (0, 1)}
+        for part in parts(batches, _held(19)):
+            ids, fraud, r, held = _columns(part)
+            for t in (0, 1):
+                mine, theirs = np.argsort(asked[:, t], kind="stable"), np.argsort(held[:, t], kind="stable")
+                a, b = asked[mine, t], held[theirs, t]
+                for value in np.intersect1d(a, b).tolist():
+                    some = mine[np.searchsorted(a, value) : np.searchsorted(a, value, "right")]
+                    those = theirs[np.searchsorted(b, value) : np.searchsorted(b, value, "right")]
+                    for x in range(0, len(some), TILE):
+                        rows = some[x : x + TILE]
+                        for y in range(0, len(those), TILE):
+                            cols = those[y : y + TILE]
+                            keys = exact_keys(q[rows], r[cols])
+                            if leave_self:
+                                keys[qid[rows][:, None] == ids[cols][None, :]] = np.inf
+                            if t:  # what the first table gave counts there
+                                keys[asked[rows, 0][:, None] == held[cols, 0][None, :]] = np.inf
+                            count[t][rows] += np.isfinite(keys).sum(axis=1)
+                            best[t].add(rows, keys, ids[cols], fraud[cols])
+        yield from _sent(qid, best, count)
+
+    return run
+
+
+def _near_task(sent, k: int, radius: int, _enough: int | None, _last: int, leave_self: bool):
+    """All stages but the coarse one as one, for queries that have k references within a bound already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q, asked, bound = sent.value
+        best, groups = Best(len(qid), k), grouped(q, GROUP)
+        best.key[:] = np.nextafter(bound, np.inf)[:, None]  # places that a reference at the bound still takes
+        for part in parts(batches, _held(19)):
+            ids, fraud, r, held = _columns(part)
+            for some, those in near_pairs(groups, grouped(r, LEAF), ids, best):
+                for a in range(0, len(some), TILE):
+                    rows = some[a : a + TILE]
+                    for b in range(0, len(those), TILE):
+                        cols = those[b : b + TILE]
+                        keys = exact_keys(q[rows], r[cols])
+                        far = [np.bitwise_count(asked[rows, t][:, None] ^ held[cols, t][None, :]) for t in (0, 1)]
+                        keys[np.minimum(*far) > radius] = np.inf
+                        if leave_self:
+                            keys[qid[rows][:, None] == ids[cols][None, :]] = np.inf
+                        best.add(rows, keys, ids[cols], fraud[cols])
+        best.key[best.id == np.iinfo(np.int64).max] = np.inf  # places that none took
+        yield from _sent(qid, {0: best}, {0: np.isfinite(best.key).sum(axis=1)})
+
+    return run
+
+
+def _sent(qid: np.ndarray, best: dict[int, Best], count: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The best references of each stage, and a row for each query and stage with the number of references read."""
+    for band in best:
+        keep = np.isfinite(best[band].key)
+        names = np.broadcast_to(qid[:, None], keep.shape)[keep]
+        some = count[band] > 0
+        none = [None] * int(some.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), band, np.int32)), pa.array(best[band].id[keep]), pa.array(best[band].key[keep].astype(np.int64)), pa.array(best[band].extra[keep].astype(np.int32)), pa.array([0] * len(names), pa.int64())], ["query_id", "band", "ref_id", "distance_key", "fraud", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(qid[some]), pa.array(np.full(len(none), band, np.int32)), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(count[band][some])], ["query_id", "band", "ref_id", "distance_key", "fraud", "n"])
+
+
 def _task(sent, k: int, radius: int, enough: int | None, last: int, leave_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q, asked = sent.value
@@ -163,13 +275,7 @@ def _task(sent, k: int, radius: int, enough: int | None, last: int, leave_self:
                         there = stage == band
                         count[band][rows] += there.sum(axis=1)
                         best[band].add(rows, np.where(there, keys, np.inf), ids, fraud)
-        for band in bands:
-            keep = np.isfinite(best[band].key)
-            names = np.broadcast_to(qid[:, None], keep.shape)[keep]
-            some = count[band] > 0
-            none = [None] * int(some.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), band, np.int32)), pa.array(best[band].id[keep]), pa.array(best[band].key[keep].astype(np.int64)), pa.array(best[band].extra[keep].astype(np.int32)), pa.array([0] * len(names), pa.int64())], ["query_id", "band", "ref_id", "distance_key", "fraud", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array(qid[some]), pa.array(np.full(len(none), band, np.int32)), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(count[band][some])], ["query_id", "band", "ref_id", "distance_key", "fraud", "n"])
+        yield from _sent(qid, best, count)
 
     return run
 
