@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, discard, materialize, sliced, small_side, text_of, without_rows
+from .common import NO_ID, bitmap, discard, materialize, sliced, small_side, tested, text_of, without_rows
 from .simhash import _LOWER, _WORD, SEED, candidate_links, components
 from .windows import BASE, mix
 
@@ -198,6 +198,13 @@ def _forests(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def met(rows: DataFrame, side: DataFrame, column: str) -> DataFrame:
+    """``rows`` joined with the (materialised) ``side`` by ``column``; beyond the bound only rows that a bitmap marks are shuffled."""
+    if side.count() <= MAX_BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), column)
+    return tested(rows, column, bitmap(side, column))[0].join(side, column)
+
+
 def sets_for(docs: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
     """(node, sh): the shingles of the (materialised) ``wanted`` (node, row)."""
 
@@ -205,7 +212,8 @@ def sets_for(docs: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
         for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["node", "sh"])
 
-    texts = docs.select(row_key().alias("row"), text_of("text").cast("binary").alias("text")).join(small_side(wanted, MAX_BROADCAST_ROWS), "row")
+    texts = docs.select(row_key().alias("row"), text_of("text").cast("binary").alias("text"))
+    texts = met(texts, wanted, "row")
     return materialize(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(sets, "node long, sh array<long>"), label)
 
 
@@ -239,7 +247,7 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     keyed = nodes.select("node", "n", F.explode("prefix").alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "overlap-keys")
-    held = materialize(keyed.join(small_side(shared, MAX_BROADCAST_ROWS), "key"), "overlap-shared")
+    held = materialize(met(keyed, shared, "key"), "overlap-shared")
 
     one = held.where(F.col("m") <= SMALL)
     other = one.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
