@@ -7,8 +7,10 @@ included, but near copies of that similarity differ by 8 bits on average, so fin
 most of them.  An exact join finds the rest; pairs that are connected already need no comparison:
 
 1. Prefixes: in any fixed order of all shingles, two sets of that similarity share one of the first
-   ``n - ceil(0.8 n) + 1`` shingles of either.  The order puts what is frequent in a sample of the
-   documents last, so common passages rarely propose; the sample moves cost only, never a result.
+   ``n - ceil(0.8 n) + 1`` shingles of either.  The order begins with shingles of rare words and ends with
+   those that are frequent themselves, both by a sample of the documents.  Shingles that more than
+   ``CROWD`` prefixes hold all the same (a passage that the sample missed) are then moved behind the rare ones by their exact
+   counts, and the texts whose prefix held one get a new one.  The order moves cost only, never a result.
 2. Parities: a bit for each bucket of shingles, set if the bucket holds an odd number.  Two sets
    differ in at least as many shingles as in bits, and near copies in a ninth of their sizes at most.
 3. What remains is compared by the sets themselves.
@@ -46,23 +48,34 @@ BLOCK = 1024
 CHUNK = 1 << 15
 SAMPLE = 20_000
 MAX_FREQUENT = 500_000
+MAX_WORDS = 100_000
+#: A shingle of more prefixes is moved back in the order, in so many rounds at most.
+CROWD = 16
+ROUNDS = 2
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """The sorted distinct hashes of the text's shingles."""
+def word_hashes(text: bytes) -> np.ndarray:
     import xxhash
 
-    words = _WORD.findall(text.translate(_LOWER))
-    if not words:
-        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    w = np.array([digest(x, SEED) for x in words], np.uint64)
+    return np.array([digest(x, SEED) for x in _WORD.findall(text.translate(_LOWER))], np.uint64)
+
+
+def shingle_hashes(w: np.ndarray) -> np.ndarray:
+    """The hash of each shingle of words of these hashes."""
+    if not len(w):
+        return w
     last = max(len(w) - SHINGLE + 1, 1)
     h = np.zeros(last, np.uint64)
     for k in range(min(SHINGLE, len(w))):
         h = mix(h * np.uint64(BASE) + w[k : k + last])
-    return np.unique(h)
+    return h
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles."""
+    return np.unique(shingle_hashes(word_hashes(text)))
 
 
 def parities(sh: np.ndarray) -> bytes:
@@ -97,45 +110,80 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.astype(np.uint64).view(np.int64))
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that a sample of the documents holds three times or more, rarest first."""
+class Order:
+    """An order of all shingles: by the frequency of their words (``words`` with ``counts``), then those of ``crowded``, then those of ``late``, rarest first."""
+
+    def __init__(self, late: np.ndarray, words: np.ndarray, counts: np.ndarray, crowded: np.ndarray | None = None):
+        self.given = late, words, counts
+        self.crowded = late[:0] if crowded is None else crowded
+        last = np.concatenate((self.crowded, late))
+        self.rank = np.argsort(last)
+        self.late = last[self.rank]
+        place = np.argsort(words)
+        self.words, self.weight = words[place], np.round(16 * np.log2(counts[place])).astype(np.int64)
+
+    def later(self, more: np.ndarray) -> Order:
+        """With the shingles ``more``, of which it holds none among the last, between ``crowded`` and ``late``: a prefix without any of them stays as it is."""
+        return Order(*self.given, np.concatenate((self.crowded, more)))
+
+    def prefix(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct shingles of words of these hashes, and the first of them by this order that any near set must meet."""
+        sh, at = np.unique(shingle_hashes(w), return_index=True)
+        n, key = len(sh), np.zeros(len(sh), np.int64)
+        if n and len(self.words):
+            place = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
+            weight = np.where(self.words[place] == w, self.weight[place], 0)
+            for k in range(min(SHINGLE, len(w))):
+                key += weight[at + k]
+        if n and len(self.late):
+            place = np.minimum(np.searchsorted(self.late, sh), len(self.late) - 1)
+            key = np.where(self.late[place] == sh, (1 << 32) + self.rank[place], key)
+        return sh, sh[np.argsort(key, kind="stable")[: n - -(-NUM * n // DEN) + 1]]
+
+
+def order_of(docs: DataFrame) -> Order:
+    """The order by the shingles and words that a sample of the documents holds three times or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
+            held = []
             for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([_signed(shingle_set(t.as_py()))], ["h"])
+                w = word_hashes(t.as_py())
+                sh = np.unique(shingle_hashes(w))
+                held.append(np.unique(w))
+                yield pa.RecordBatch.from_arrays([_signed(sh), pa.array(np.ones(len(sh), np.int64)), pa.array(np.zeros(len(sh), bool))], ["h", "n", "word"])
+            if held:
+                w, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(w), pa.array(n.astype(np.int64)), pa.array(np.ones(len(w), bool))], ["h", "n", "word"])
 
     n = docs.count()
     step = max(n // SAMPLE, 1)
     some = docs.where(F.pmod(row_key(), F.lit(step)) == 0).select(text_of("text").cast("binary").alias("text")).distinct()
-    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    top = counts.orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).toArrow()
-    return top["h"].to_numpy().view(np.uint64)[::-1].copy()
+    counts = materialize(some.mapInArrow(run, "h long, n long, word boolean").groupBy("word", "h").agg(F.sum("n").alias("n")).where("n > 2"), "overlap-order")
+    top = lambda word, most: counts.where(F.col("word") == word).orderBy(F.desc("n"), "h").limit(most).toArrow()
+    late, words = top(False, MAX_FREQUENT), top(True, MAX_WORDS)
+    discard(counts)
+    hashes = lambda t: t["h"].to_numpy().view(np.uint64)
+    return Order(hashes(late)[::-1], hashes(words), words["n"].to_numpy())
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, order: Order | None = None) -> DataFrame:
     """(row, id, node, n, fp, parity, prefix) for each row of ``docs``; ``node`` is a hash of the whole set, ``fp`` its SimHash."""
-    late = frequent(docs)
-    order = np.argsort(late)
-    known = docs.sparkSession.sparkContext.broadcast((late[order], order))
+    known = docs.sparkSession.sparkContext.broadcast(order or order_of(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        late, rank = known.value
+        order = known.value
         for b in sliced(batches):
             node, size, prints, parity, prefix = [], [], [], [], []
             for t in b.column(2):
-                sh = shingle_set(t.as_py())
-                n = len(sh)
+                sh, first = order.prefix(word_hashes(t.as_py()))
                 node.append(xxhash.xxh64_intdigest(sh.tobytes(), SEED))
-                size.append(n)
+                size.append(len(sh))
                 prints.append(set_print(sh))
                 parity.append(parities(sh))
-                if n and len(late):
-                    at = np.minimum(np.searchsorted(late, sh), len(late) - 1)
-                    sh = sh[np.argsort(np.where(late[at] == sh, rank[at] + 1, 0), kind="stable")]
-                prefix.append(sh[: n - -(-NUM * n // DEN) + 1].view(np.int64))
+                prefix.append(first.view(np.int64))
             arrays = [b.column(0), b.column(1), _signed(np.array(node, np.uint64)), pa.array(size, pa.int32()), _signed(np.array(prints, np.uint64)), pa.array(parity, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "node", "n", "fp", "parity", "prefix"])
 
@@ -143,6 +191,54 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(run, "row long, id long, node long, n int, fp long, parity binary, prefix array<long>"), "overlap-rows")
 
 
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """One row of ``rows`` (as from ``sets_of``) for each set, the empty one left out; only rows of sets that a bitmap of the repeated ones marks are shuffled."""
+    sets = rows.where("n > 0").drop("id")
+    repeated = sets.groupBy("node").agg(F.count("*").alias("times")).where("times > 1")
+    maps = bitmap(repeated, "node")
+    maybe, once = tested(sets, "node", maps)
+    one = maybe.groupBy("node").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "fp", "parity", "prefix")])
+    nodes = materialize(once.unionByName(one), "overlap-nodes")
+    discard(maps)
+    return nodes
+
+
+def spread(docs: DataFrame, nodes: DataFrame, order: Order) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` with prefixes by an order that puts crowded shingles last, and (key, m): the shingles that several prefixes hold; tables, ``nodes`` goes."""
+    spark = docs.sparkSession
+    for left in range(ROUNDS, -1, -1):
+        counts = nodes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        shared = materialize(counts, "overlap-keys")
+        top = shared.where(F.col("m") > CROWD).orderBy(F.desc("m"), "key").limit(MAX_FREQUENT).toArrow() if left else None
+        more = top["key"].to_numpy().view(np.uint64)[::-1] if left else np.empty(0, np.uint64)
+        more = more[~np.isin(more, order.late)]
+        if not len(more):
+            return nodes, shared
+        order = order.later(more)
+        keys = materialize(spark.createDataFrame(pa.table({"key": _signed(more)})), "overlap-crowded")
+        touched = materialize(met(nodes.select("node", "row", F.explode("prefix").alias("key")), keys, "key").select("node", "row").distinct(), "overlap-touched")
+        moved = materialize(_prefixes(docs, touched, order), "overlap-moved")
+        maps = bitmap(moved, "node")
+        maybe, same = tested(nodes, "node", maps)
+        again = maybe.join(moved.withColumnRenamed("prefix", "new"), "node", "left").withColumn("prefix", F.coalesce("new", "prefix")).drop("new")
+        before, nodes = nodes, materialize(same.unionByName(again), "overlap-nodes")
+        discard(before, shared, keys, touched, moved, maps)
+    raise AssertionError("the last round returns")
+
+
+def _prefixes(docs: DataFrame, wanted: DataFrame, order: Order) -> DataFrame:
+    """(node, prefix) of the (materialised) ``wanted`` (node, row) by ``order``."""
+    known = docs.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            prefix = [known.value.prefix(word_hashes(t.as_py()))[1].view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prefix, pa.list_(pa.int64()))], ["node", "prefix"])
+
+    texts = docs.select(row_key().alias("row"), text_of("text").cast("binary").alias("text"))
+    return met(texts, wanted, "row").select("node", "text").mapInArrow(run, "node long, prefix array<long>").dropDuplicates(["node"])
+
+
 def _sieved(pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of (a, b, n, p, q) whose parities allow the similarity."""
 
@@ -239,14 +335,13 @@ def fingerprint_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges
 
 
-def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes with the components of all near pairs; ``rows`` as from ``sets_of(docs)``."""
-    nodes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")), "overlap-nodes")
+def links(docs: DataFrame, nodes: DataFrame, order: Order) -> DataFrame:
+    """Edges (a, b) between nodes with the components of all near pairs; ``nodes`` as from ``nodes_of`` with prefixes by ``order``, deleted at the end."""
     alike = fingerprint_links(docs, nodes)
     joined = components(alike)
 
+    nodes, shared = spread(docs, nodes, order)
     keyed = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "overlap-keys")
     held = materialize(met(keyed, shared, "key"), "overlap-shared")
 
     one = held.where(F.col("m") <= SMALL)
@@ -276,9 +371,12 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component of near copies; columns unchanged."""
-    rows = sets_of(docs)
-    roots = components(links(docs, rows)).select("node", "root")
-    named = rows.select("row", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = order_of(docs)
+    sets = sets_of(docs, order)
+    rows, nodes = materialize(sets.select("row", "id", "node"), "overlap-ids"), nodes_of(sets)
+    discard(sets)
+    roots = components(links(docs, nodes, order)).select("node", "root")
+    named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named.groupBy("root", "row").agg(F.min("id").alias("id"), F.count("*").alias("times")), "overlap-named")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select(F.col("m.row").alias("row"))
     first = materialize(first, "overlap-first")
